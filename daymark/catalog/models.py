@@ -1 +1,473 @@
-"""Registered queries."""
+"""Clustering, sampling, prediction and ranking queries."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from daymark.catalog import registry
+from daymark.catalog.audits import MART_SQL, customer_mart
+from daymark.catalog.days import event_d3_mart
+from daymark.catalog.fixtures import table
+from daymark.operators import cluster as cl
+from daymark.operators import predict as pd
+from daymark.operators.segments import profile
+from daymark.operators.tables import union_all
+
+add = registry.add
+
+SPEC = cl.FeatureSpec(counts=["order_count", "spend", "rare"], rates=["accepted_rate"], timing={"early": 8})
+# rare is above 0 for fewer than one user in a hundred at larger scales, accepted_rate may exceed 1 before clipping
+FEATURES_SQL = MART_SQL + """
+    , f AS (SELECT user_id, segment, order_count, spend, CASE WHEN user_id < 3 THEN 1 ELSE 0 END AS rare,
+      coalesce(accepted / nullif(order_count, 0), 0.0) AS accepted_rate, 12 - order_count AS early FROM m),
+    t AS (SELECT user_id, segment, ln(1 + least(greatest(order_count, 0), (SELECT quantile_cont(order_count, 0.99) FROM f))) AS a,
+      ln(1 + least(greatest(spend, 0), (SELECT quantile_cont(spend, 0.99) FROM f))) AS b,
+      least(greatest(accepted_rate, 0), 1) AS c, least(greatest(early, 0), 8) AS e FROM f),
+    z AS (SELECT user_id, segment, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b,
+      (c - avg(c) OVER ()) / stddev_pop(c) OVER () AS c, (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS e FROM t)
+    """
+
+
+def _raw_features(s, d):
+    m = customer_mart(s, d)
+    return m.select(
+        "user_id",
+        "segment",
+        "order_count",
+        "spend",
+        (F.col("user_id") < 3).cast("int").alias("rare"),
+        F.coalesce(F.try_divide("accepted", F.nullif(F.col("order_count"), F.lit(0))), F.lit(0.0)).alias("accepted_rate"),
+        (F.lit(12) - F.col("order_count")).alias("early"),
+    )
+
+
+Z = ["order_count", "spend", "accepted_rate", "early"]
+
+
+@add(
+    "cluster_features",
+    FEATURES_SQL
+    + "SELECT user_id, round(a, 6) AS z_order_count, round(b, 6) AS z_spend, round(c, 6) AS z_accepted_rate, round(e, 6) AS z_early FROM z",
+)
+def _(s, d):
+    out, _table, kept = cl.cluster_features(_raw_features(s, d), SPEC, vector=None)
+    return out.select("user_id", *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in Z])
+
+
+@add(
+    "cluster_feature_table",
+    FEATURES_SQL
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, '{r}' AS transform, quantile_cont({c}, 0.99) AS p99, {u} AS used FROM f"
+        for c, r, u in (
+            ("order_count", "cap at p99, log1p, standardise", "true"),
+            ("spend", "cap at p99, log1p, standardise", "true"),
+            ("rare", "cap at p99, log1p, standardise", "quantile_cont(rare, 0.99) > 0"),
+            ("accepted_rate", "clip 0-1, standardise", "true"),
+            ("early", "clip 0-8, standardise", "true"),
+        )
+    ),
+)
+def _(s, d):
+    return cl.cluster_features(_raw_features(s, d), SPEC, vector=None)[1]
+
+
+@add(
+    "axis_scores",
+    FEATURES_SQL
+    + "SELECT user_id, round((a + b) / 2, 6) AS buying, round((c + e) / 2, 6) AS timing, 0.0 AS absent FROM z",
+)
+def _(s, d):
+    out, _t, _k = cl.cluster_features(_raw_features(s, d), SPEC, vector=None)
+    axes = {"buying": ["order_count", "spend"], "timing": ["accepted_rate", "early"], "absent": ["nothing"]}
+    scored = cl.axis_scores(out, axes)
+    return scored.select("user_id", *[F.round(a, 6).alias(a) for a in axes])
+
+
+@add(
+    "raw_axis_score",
+    MART_SQL
+    + """
+    , f AS (SELECT user_id, least(spend, (SELECT quantile_cont(spend, 0.99) FROM m)) AS a, CASE WHEN order_count > 10 THEN 1 ELSE 0 END AS b FROM m)
+    SELECT user_id, round(((a - avg(a) OVER ()) / stddev_pop(a) OVER () + (b - avg(b) OVER ()) / stddev_pop(b) OVER ()) / 2, 6) AS score FROM f
+    """,
+)
+def _(s, d):
+    m = customer_mart(s, d).withColumns({"often": (F.col("order_count") > 10).cast("int"), "constant": F.lit(2)})
+    out = cl.raw_axis_score(m, ["spend", "often", "constant", "absent"], "score")
+    return out.select("user_id", F.round("score", 6).alias("score"))
+
+
+K_SQL = """
+    WITH k AS (SELECT l_linenumber + 1 AS k, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / (l_linenumber * l_linenumber) AS inertia,
+      CAST(sum(l_quantity) AS DOUBLE) / count(*) / 50 AS silhouette_score, count(*) * 100.0 / (SELECT count(*) FROM lineitem) AS min_cluster_share_pct,
+      count(*) * 7 >= (SELECT count(*) FROM lineitem) OR l_linenumber >= 6 AS meets_min_cluster_share FROM lineitem GROUP BY l_linenumber),
+    d AS (SELECT *, round_even(coalesce(lag(inertia) OVER (ORDER BY k) - inertia, 0), 3) AS inertia_drop_from_prev, lag(inertia) OVER (ORDER BY k) AS prev FROM k),
+    e AS (SELECT *, round_even(coalesce(inertia_drop_from_prev / prev * 100, 0), 2) AS inertia_drop_pct_from_prev,
+      round_even(abs((k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) + (inertia - min(inertia) OVER ()) / (max(inertia) OVER () - min(inertia) OVER ()) - 1) / sqrt(2), 4) AS elbow_score FROM d),
+    n AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN meets_min_cluster_share AND k >= 3 THEN 0 WHEN meets_min_cluster_share THEN 1 ELSE 2 END, elbow_score DESC, k) = 1 AS is_elbow_k,
+      round_even((elbow_score - min(elbow_score) OVER ()) / (max(elbow_score) OVER () - min(elbow_score) OVER ()), 4) AS elbow_score_norm,
+      round_even((silhouette_score - min(silhouette_score) OVER ()) / (max(silhouette_score) OVER () - min(silhouette_score) OVER ()), 4) AS silhouette_score_norm,
+      round_even((inertia_drop_pct_from_prev - min(inertia_drop_pct_from_prev) OVER ()) / (max(inertia_drop_pct_from_prev) OVER () - min(inertia_drop_pct_from_prev) OVER ()), 4) AS inertia_drop_pct_norm FROM e),
+    s AS (SELECT * EXCLUDE (prev), round_even(elbow_score_norm * 0.45 + silhouette_score_norm * 0.35 + inertia_drop_pct_norm * 0.2, 4) AS auto_k_score FROM n)
+    """
+
+
+def _k_table(s, d):
+    """One row per line number standing for a candidate k, with measures taken from the lines."""
+    lines = table(s, d, "lineitem")
+    total = lines.agg(F.count(F.lit(1)).alias("t"))
+    n = F.col("l_linenumber")
+    g = lines.groupBy("l_linenumber").agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("v"),
+        (F.sum("l_quantity") / F.count(F.lit(1)) / 50).alias("silhouette_score"),
+        F.count(F.lit(1)).alias("c"),
+    )
+    return g.select(
+        (n + 1).alias("k"),
+        (F.col("v") / (n * n)).alias("inertia"),
+        "silhouette_score",
+        (F.col("c") * 100.0 / total.scalar()).alias("min_cluster_share_pct"),
+        ((F.col("c") * 7 >= total.scalar()) | (n >= 6)).alias("meets_min_cluster_share"),
+    )
+
+
+@add("elbow", K_SQL + "SELECT * FROM s")
+def _(s, d):
+    return cl.elbow(_k_table(s, d))
+
+
+@add(
+    "choose_k",
+    K_SQL
+    + """
+    SELECT k, auto_k_score, row_number() OVER (ORDER BY meets_min_cluster_share DESC, k BETWEEN 3 AND 6 DESC, auto_k_score DESC, elbow_score DESC,
+      silhouette_score DESC, min_cluster_share_pct DESC, k) = 1 AS selected_k FROM s
+    """,
+)
+def _(s, d):
+    return cl.choose_k(cl.elbow(_k_table(s, d)))[1].select("k", "auto_k_score", "selected_k")
+
+
+@add(
+    "choose_k_by_silhouette",
+    K_SQL
+    + """
+    SELECT k, silhouette_score, row_number() OVER (ORDER BY meets_min_cluster_share DESC, silhouette_score DESC, min_cluster_share_pct DESC, k) = 1 AS selected_k FROM s
+    """,
+)
+def _(s, d):
+    return cl.choose_k_by_silhouette(_k_table(s, d))[1].select("k", "silhouette_score", "selected_k")
+
+
+def _embeddings(s, d):
+    return table(s, d, "embeddings").withColumn("features", array_to_vector("embedding"))
+
+
+@add("sweep_kmeans")
+def _(s, d):
+    out, _t, _k = cl.cluster_features(_raw_features(s, d), SPEC)
+    return cl.sweep_kmeans(out, ks=range(2, 5), seeds=(42,))[0]
+
+
+@add("kmeans_assign")
+def _(s, d):
+    emb = _embeddings(s, d)
+    _table, models = cl.sweep_kmeans(emb, ks=[4], seeds=(42,))
+    return cl.assign(models[4], emb).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("project_pca")
+def _(s, d):
+    return cl.project_pca(_embeddings(s, d), 2)[0].select("vec_id", "pc1", "pc2")
+
+
+@add(
+    "quota_sample",
+    """
+    SELECT lang, count(*) AS population, true AS near_its_share,
+      CASE WHEN (SELECT count(*) FROM documents) > 60 THEN 60 ELSE (SELECT count(*) FROM documents) END AS sampled_in_total FROM documents GROUP BY 1
+    """,
+)
+def _(s, d):
+    docs = table(s, d, "documents").select("doc_id", "lang")
+    got = cl.quota_sample(docs, "lang", 60, id_col="doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    every = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("population"))
+    whole, all_got = docs.agg(F.count(F.lit(1)).alias("n")), got.agg(F.sum("n").alias("n"))
+    # the remainder of the rounding goes to the largest class, so a class is off by less than the number of classes
+    return every.join(got, "lang").select(
+        "lang",
+        "population",
+        (F.abs(F.col("n") - 60 * F.col("population") / whole.scalar()) < 4).alias("near_its_share"),
+        all_got.scalar().alias("sampled_in_total"),
+    )
+
+
+@add(
+    "random_sample",
+    "SELECT 100 AS n, 100 AS different, true AS from_orders",
+)
+def _(s, d):
+    o = table(s, d, "orders").select("o_orderkey")
+    got = cl.random_sample(o, 100, id_col="o_orderkey")
+    known = o.withColumn("known", F.lit(True))
+    return got.join(known, "o_orderkey", "left").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("o_orderkey").alias("different"),
+        F.bool_and(F.coalesce("known", F.lit(False))).alias("from_orders"),
+    )
+
+
+def _profile(s, d):
+    m = customer_mart(s, d)
+    out = profile(m, "segment", ["order_count", "accepted", "spend", "balance", "line_count"])
+    return out.withColumns({"buy": F.col("order_count") / 10 - 0.5, "take": F.col("accepted") / 10 - 1.0})
+
+
+PROFILE_SQL = MART_SQL + """
+    , p AS (SELECT segment, count(DISTINCT user_id) AS user_count, avg(order_count) AS order_count, avg(accepted) AS accepted, avg(line_count) AS line_count,
+      sum(spend) / count(*) AS spend, CAST(sum(CAST(balance AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS balance, avg(order_count) / 10 - 0.5 AS buy, avg(accepted) / 10 - 1.0 AS take FROM m GROUP BY 1)
+    """
+
+
+@add(
+    "rule_labels",
+    PROFILE_SQL
+    + """
+    , r AS (SELECT *, greatest(buy, take) AS act, (rank() OVER (ORDER BY order_count) + rank() OVER (ORDER BY line_count)) / 2.0 / count(*) OVER () AS rel FROM p),
+    q AS (SELECT *, act >= greatest(0.25, (SELECT quantile_cont(act, 0.5) FROM r)) AS ah, rel >= (SELECT quantile_cont(rel, 0.5) FROM r) AS rh,
+      balance <= (SELECT quantile_cont(balance, 1.0 / 3) FROM r) AS bl, balance >= (SELECT quantile_cont(balance, 2.0 / 3) FROM r) AS bh FROM r),
+    l AS (SELECT segment, CASE WHEN ah THEN 'high activity' ELSE 'low activity' END AS activity_level, CASE WHEN rh THEN 'high relation' ELSE 'low relation' END AS relation_level,
+      CASE WHEN bl THEN 'low backlog' WHEN bh THEN 'high backlog' ELSE 'mid backlog' END AS backlog_level, user_count FROM q)
+    SELECT segment, activity_level, relation_level, backlog_level, activity_level || ' / ' || relation_level || ' / ' || backlog_level || ' (n=' || format('{:,}', user_count) || ')' AS cluster_label FROM l
+    """,
+)
+def _(s, d):
+    out = cl.rule_labels(_profile(s, d), ["buy", "take"], ["order_count", "line_count"], "balance")
+    return out.select("segment", "activity_level", "relation_level", "backlog_level", "cluster_label")
+
+
+NATION_SQL = MART_SQL + """
+    , p AS (SELECT n_regionkey AS cluster, avg(order_count) - 9.8 AS sent, avg(accepted) - 13 AS sessions FROM m GROUP BY 1)
+    , l AS (SELECT *, CASE WHEN sent > 0 AND (sent = max(sent) OVER () OR sent >= 50) THEN 'high sender' WHEN sent <= 1 AND sessions > 0 THEN 'session responder'
+      WHEN sent <= 1 THEN 'inactive' ELSE 'low sender' END AS cluster_label FROM p)
+    """
+
+
+def _regions(s, d):
+    m = customer_mart(s, d)
+    return m.groupBy(F.col("n_regionkey").alias("cluster")).agg(
+        (F.sum("order_count") / F.count(F.lit(1)) - 9.8).alias("sent"), (F.sum("accepted") / F.count(F.lit(1)) - 13).alias("sessions")
+    )
+
+
+@add("sender_labels", NATION_SQL + "SELECT cluster, cluster_label FROM l")
+def _(s, d):
+    return cl.sender_labels(_regions(s, d), "sent", ["sessions"]).select("cluster", "cluster_label")
+
+
+@add(
+    "unique_labels",
+    NATION_SQL
+    + """
+    SELECT cluster, CASE WHEN rn = 1 THEN cluster_label ELSE cluster_label || ' ' || rn END AS cluster_label FROM (
+      SELECT *, row_number() OVER (PARTITION BY cluster_label ORDER BY cluster) AS rn FROM l)
+    """,
+)
+def _(s, d):
+    named = cl.sender_labels(_regions(s, d), "sent", ["sessions"])
+    return cl.unique_labels(named, "cluster").select("cluster", "cluster_label")
+
+
+@add("order_clusters", NATION_SQL + "SELECT cluster, row_number() OVER (ORDER BY sessions, sent, cluster) AS cluster_order FROM l")
+def _(s, d):
+    return cl.order_clusters(_regions(s, d), ["sessions", "sent", "cluster"]).select("cluster", "cluster_order")
+
+
+@add(
+    "derive_targets",
+    MART_SQL
+    + """
+    SELECT user_id, CASE WHEN accepted > 0 OR line_count > 40 THEN 1 ELSE 0 END AS relation_experience_d0_3,
+      CASE WHEN order_days = 0 THEN 1 ELSE 0 END AS churn_d4_plus, CASE WHEN order_days >= 8 THEN 1 ELSE 0 END AS high_active_d4_plus,
+      CASE WHEN order_count >= 2 THEN 1 ELSE 0 END AS repeat_paid_d4_plus,
+      CASE WHEN spend >= (SELECT quantile_cont(spend, 0.75) FROM m WHERE spend > 0) THEN 1 ELSE 0 END AS high_value_paid_d4_plus FROM m
+    """,
+)
+def _(s, d):
+    m = customer_mart(s, d).withColumns(
+        {
+            "received_vote_yn_d0_3": F.when(F.col("accepted") > 0, "yes").otherwise("no"),
+            "sent_vote_experience_d0_3": F.col("line_count") > 40,
+            "paid_flag": (F.col("order_count") > 0).cast("int"),
+        }
+    )
+    targets = {"active_days": "order_days", "payment_count": "order_count", "bought_hearts": "spend", "paid": "paid_flag"}
+    out, names = pd.derive_targets(m, targets, high_active=8)
+    return out.select("user_id", *[names[n] for n in ("relation_experience", "churn", "high_active", "repeat_paid", "high_value_paid")])
+
+
+@add(
+    "stratified_split",
+    """
+    SELECT quality, count(*) AS class_rows, true AS close, CAST(ceil(0.3 * (SELECT count(*) FROM labels)) AS BIGINT) AS test_in_total FROM labels GROUP BY 1
+    """,
+)
+def _(s, d):
+    parts = pd.stratified_split(table(s, d, "labels"), "quality", 0.3, id_col="doc_id")
+    g = parts.groupBy("quality").agg(F.count(F.lit(1)).alias("class_rows"), F.count_if("is_test").alias("t"))
+    total = g.agg(F.sum("t").alias("t"))
+    return g.select(
+        "quality", "class_rows", (F.abs(F.col("t") - 0.3 * F.col("class_rows")) <= 1).alias("close"), total.scalar().alias("test_in_total")
+    )
+
+
+# lengths stand in for a score; rounded to hundreds so that many scores tie
+SCORED_SQL = "WITH s AS (SELECT l.doc_id, quality AS y, floor(n_chars / 100.0) / 250.0 AS score, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id)\n"
+
+
+def _scored(s, d):
+    docs = table(s, d, "documents").select("doc_id", "n_chars")
+    return table(s, d, "labels").join(docs, "doc_id").select(
+        "doc_id", F.col("quality").alias("y"), (F.floor(F.col("n_chars") / 100.0) / 250.0).alias("score"), "n_chars"
+    )
+
+
+@add(
+    "threshold_metrics",
+    SCORED_SQL
+    + """
+    , c AS (SELECT count(*) AS n, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 1 AND score >= 0.1) AS tp, count(*) FILTER (y = 0 AND score >= 0.1) AS fp,
+      count(*) FILTER ((y = 1) = (score >= 0.1)) AS ok FROM s)
+    SELECT n AS row_count, p AS positive_count, p / n AS positive_rate, 0.1 AS threshold, ok / n AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision,
+      coalesce(tp / nullif(p, 0), 0.0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + p - tp, 0), 0.0) AS f1 FROM c
+    """,
+)
+def _(s, d):
+    return pd.threshold_metrics(_scored(s, d), "y", "score", 0.1)
+
+
+@add(
+    "roc_auc",
+    SCORED_SQL
+    + """
+    , r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM s)
+    SELECT (sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS roc_auc FROM r
+    """,
+)
+def _(s, d):
+    return pd.roc_auc(_scored(s, d), "y", "score")
+
+
+@add(
+    "average_precision",
+    SCORED_SQL
+    + """
+    , g AS (SELECT score, count(*) AS n, count(*) FILTER (y = 1) AS p FROM s GROUP BY 1),
+    c AS (SELECT p, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS k, sum(p) OVER () AS total FROM g)
+    SELECT sum(p * 1.0 / total * tp / k) AS pr_auc FROM c
+    """,
+)
+def _(s, d):
+    return pd.average_precision(_scored(s, d), "y", "score")
+
+
+@add(
+    "confusion",
+    SCORED_SQL
+    + """
+    SELECT a.v AS actual, b.v AS predicted, count(s.y) AS count FROM (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) b(v)
+    LEFT JOIN s ON s.y = a.v AND (s.score >= 0.1) = (b.v = 1) GROUP BY 1, 2
+    """,
+)
+def _(s, d):
+    return pd.confusion(_scored(s, d), "y", "score", 0.1)
+
+
+@add(
+    "lift",
+    SCORED_SQL
+    + """
+    , o AS (SELECT y, row_number() OVER (ORDER BY score DESC, doc_id) AS rn, count(*) OVER () AS n, sum(y) OVER () AS p FROM s),
+    k AS (SELECT * FROM (VALUES ('Top 1%', 0.01), ('Top 3%', 0.03), ('Top 5%', 0.05), ('Top 10%', 0.1), ('Top 100%', 1.0)) t(top_k, top_k_rate)),
+    g AS (SELECT top_k, top_k_rate, greatest(1, CAST(ceil(round(n * top_k_rate, 9)) AS BIGINT)) AS top_n, n, p, y, rn FROM o, k)
+    SELECT top_k, top_k_rate, top_n, any_value(p) / any_value(n) AS base_positive_rate, sum(y) / top_n AS top_positive_rate,
+      sum(y) / top_n / (any_value(p) / any_value(n)) AS lift, CAST(sum(y) AS BIGINT) AS captured_positive_count, sum(y) / any_value(p) AS capture_rate FROM g WHERE rn <= top_n GROUP BY 1, 2, 3
+    """,
+)
+def _(s, d):
+    return pd.lift(_scored(s, d), "y", "score", (*pd.LIFT_SHARES, 1.0), "doc_id")
+
+
+@add(
+    "regression_metrics",
+    SCORED_SQL
+    + """
+    SELECT count(*) AS row_count, avg(n_chars) AS target_mean, quantile_cont(n_chars, 0.5) AS target_median, count(*) FILTER (n_chars > 0) / count(*) AS target_positive_rate,
+      round(avg(abs(n_chars - score * 20000)), 6) AS mae, round(sqrt(avg((n_chars - score * 20000) ** 2)), 6) AS rmse,
+      round(1 - sum((n_chars - score * 20000) ** 2) / (var_pop(n_chars) * count(*)), 6) AS r2 FROM s
+    """,
+)
+def _(s, d):
+    x = _scored(s, d).withColumn("pred", F.col("score") * 20000)
+    out = pd.regression_metrics(x, "n_chars", "pred")
+    return out.withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "r2")})
+
+
+ENV = ["friends_d3", "class_users_d0_3", "grade_users_d0_3", "class_active_users_d0_3", "grade_active_users_d0_3"]
+RECEIVE = [
+    "received_vote_yn_d0_3", "received_vote_count_d0_3", "received_vote_days_d0_3", "first_received_vote_day_d0_3",
+    "point_use_after_received_vote_yn_d0_3", "point_use_after_received_vote_count_d0_3",
+]
+SEND = [
+    "sent_vote_experience_d0_3", "sent_vote_count_d0_3", "sent_vote_complete_count_d0_3", "sent_vote_active_days_d0_3",
+    "sent_vote_distinct_chosen_users_d0_3", "sent_vote_distinct_questions_d0_3", "sent_vote_complete_rate_d0_3",
+]
+
+
+def _buyers_mart(s, d):
+    m = customer_mart(s, d)
+    return m.withColumns({"paid": (F.col("spend") > 1500000).cast("int"), "region": F.col("n_regionkey").cast("double")})
+
+
+@add("fit_binary")
+def _(s, d):
+    r = pd.fit_binary(_buyers_mart(s, d), "paid", ["accepted", "balance", "region"], name="paid", rounds=5)
+    return r.metrics_frame(s)
+
+
+@add("fit_count")
+def _(s, d):
+    r = pd.fit_count(_buyers_mart(s, d), "order_count", ["accepted", "balance", "region"], name="orders", rounds=5)
+    return r.metrics_frame(s)
+
+
+@add("feature_importance")
+def _(s, d):
+    r = pd.fit_binary(_buyers_mart(s, d), "paid", ["accepted", "balance", "region"], name="paid", rounds=5, baseline=False)
+    out = r.rows_frame(s, "importance")
+    return out if out is not None else s.createDataFrame([], "feature string, importance double")
+
+
+def _grid(s, d):
+    mart = event_d3_mart(s, d)
+    targets = {
+        "returned": "returned_d4_28", "paid": "paid_d4_28", "payment_count": "payment_count_d4_28",
+        "active_days": "active_days_d4_28", "bought_hearts": "bought_hearts_d4_28",
+    }
+    populations = {"all": None, "relation": "received_vote_yn_d0_3 = 1 or sent_vote_experience_d0_3"}
+    return pd.model_grid(mart, populations, {"env": ENV, "all": ENV + RECEIVE + SEND}, targets, rounds=2)
+
+
+@add("model_grid")
+def _(s, d):
+    return _grid(s, d).metrics_frame(s)
+
+
+@add("best_models")
+def _(s, d):
+    m = _buyers_mart(s, d)
+    runs = pd.fit_binary(m, "paid", ["accepted"], name="paid", feature_set="few", rounds=3)
+    runs = runs + pd.fit_binary(m, "paid", ["accepted", "balance", "region"], name="paid", feature_set="more", rounds=3)
+    return pd.best_models(runs.metrics_frame(s))

@@ -19,7 +19,7 @@ from daymark.functions import num, safe_div, to_binary
 from daymark.operators.cluster import hash_ranked, quotas
 from daymark.operators.ordering import quantile_values, quantiles, running
 from daymark.operators.segments import top_per_group
-from daymark.session import checkpoint_dir
+from daymark.session import checkpoint_dir, settle
 
 
 def binary(df: DataFrame, col: str) -> Column:
@@ -64,25 +64,41 @@ def derive_targets(
 
 
 def stratified_split(
-    df: DataFrame, y: str | None, share: float = 0.3, seed: int = 42, id_col: str = "user_id", out: str = "is_test"
+    df: DataFrame,
+    y: str | None,
+    share: float = 0.3,
+    seed: int = 42,
+    id_col: str = "user_id",
+    out: str = "is_test",
+    counts: Mapping | None = None,
 ) -> DataFrame:
-    """Add the test flag: an exact share of rows in seeded hash order, per class when both have two rows or more."""
-    by: list[str] = []
-    counts = {}
-    if y is not None:
-        counts = {r[y]: r["c"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("c")).collect()}  # two classes
-        if len(counts) == 2 and min(counts.values()) >= 2:
-            by = [y]
-    if not by:
-        total = sum(counts.values()) if counts else df.count()
-        return hash_ranked(df, [], id_col, seed).withColumn(out, F.col("n_before") < math.ceil(share * total)).drop("n_before", "n_total")
-    test = quotas(counts, math.ceil(share * sum(counts.values())))
-    quota = F.lit(0)
-    for k, v in test.items():
-        quota = F.when(F.col(y) == k, F.lit(v)).otherwise(quota)
+    """Add the test flag: an exact share of rows in seeded hash order, per class when both have two rows or more.
+
+    `counts` (rows per class) saves a pass when already known.
+    """
+    if counts is None:
+        counts = (
+            {None: df.count()}
+            if y is None
+            else {r[y]: r["c"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("c")).collect()}  # two classes
+        )
+    test = test_sizes(counts, share)
+    by = [y] if len(test) == 2 else []
+    quota = F.lit(test.get(None, 0))
+    if by:
+        for k, v in test.items():
+            quota = F.when(F.col(y) == k, F.lit(v)).otherwise(quota)
     return hash_ranked(df, by, id_col, seed).withColumn(out, F.col("n_before") < quota).drop("n_before", "n_total")
 
 
+def test_sizes(counts: Mapping, share: float) -> dict:
+    """Test rows per class, or under the key None when classes are not kept apart."""
+    n = math.ceil(round(share * sum(counts.values()), 9))
+    if len(counts) == 2 and min(counts.values()) >= 2:
+        return quotas(counts, n)
+    return {None: n}
+
+
 def threshold_metrics(df: DataFrame, y: str, score: str, t: float = 0.5) -> DataFrame:
     """Accuracy, precision, recall and F1 at a threshold, 0 where undefined."""
     yes, hit = F.col(y) == 1, F.col(score) >= t
@@ -105,28 +121,32 @@ def threshold_metrics(df: DataFrame, y: str, score: str, t: float = 0.5) -> Data
     )
 
 
-def _score_table(df: DataFrame, y: str, score: str) -> DataFrame:
-    """One row per different score with positives, negatives and those at lower scores."""
+def score_table(df: DataFrame, y: str, score: str) -> DataFrame:
+    """One row per different score: positives p and rows n at it, those at lower scores, and the totals."""
     per_score = (
         df.where(F.col(score).isNotNull())
         .groupBy((F.col(score).cast("double") + F.lit(0.0)).alias("score"))
-        .agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) != 1).alias("m"))
+        .agg(F.count_if(F.col(y) == 1).alias("p"), F.count(F.lit(1)).alias("n"))
     )
-    return running(per_score, "score", ["p", "m"])
+    return running(per_score, "score", ["p", "n"])
+
+
+def _ranking_cells() -> list[Column]:
+    """ROC AUC (ties count half) and average precision as aggregates over a score table."""
+    p, m = F.col("p"), F.col("n") - F.col("p")
+    lower = F.col("n_before") - F.col("p_before")
+    hits, upward = F.col("p_total") - F.col("p_before"), F.col("n_total") - F.col("n_before")
+    both = F.max(F.col("p_total") * (F.col("n_total") - F.col("p_total")).cast("double"))
+    ap = F.try_divide(F.sum(p * F.try_divide(hits.cast("double"), upward)), F.max("p_total"))
+    return [
+        F.try_divide(F.sum(p * (lower + m / 2.0)), F.nullif(both, F.lit(0.0))).alias("roc_auc"),
+        F.when(both > 0, ap).alias("pr_auc"),
+    ]
 
 
 def ranking_metrics(df: DataFrame, y: str, score: str) -> DataFrame:
-    """ROC AUC (ties count half) and average precision in one pass over the different scores; NULL for one class."""
-    p, m = F.col("p"), F.col("m")
-    at_or_above = F.col("p_total") - F.col("p_before")
-    all_above = at_or_above + F.col("m_total") - F.col("m_before")
-    both = F.max(F.col("p_total") * F.col("m_total").cast("double"))
-    return _score_table(df, y, score).agg(
-        F.try_divide(F.sum(p * (F.col("m_before") + m / 2.0)), F.nullif(both, F.lit(0.0))).alias("roc_auc"),
-        F.when(
-            both > 0, F.try_divide(F.sum(p * F.try_divide(at_or_above.cast("double"), all_above)), F.max("p_total"))
-        ).alias("pr_auc"),
-    )
+    """ROC AUC and average precision in one pass over the different scores; NULL for one class."""
+    return score_table(df, y, score).agg(*_ranking_cells())
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -155,68 +175,95 @@ def confusion(df: DataFrame, y: str, score: str, t: float = 0.5) -> DataFrame:
 LIFT_SHARES = (0.01, 0.03, 0.05, 0.10)  # fixed values: shares of the ranking that are reported
 
 
+def _lift_cells(ks: Sequence[float]) -> list[Column]:
+    """Per share, the score group its cut falls into, as aggregates over a score table."""
+    above = F.col("n_total") - F.col("n_before") - F.col("n")
+    p_above = F.col("p_total") - F.col("p_before") - F.col("p")
+    out = [F.max("n_total").alias("_n"), F.max("p_total").alias("_p")]
+    for i, k in enumerate(ks):
+        top = F.greatest(F.lit(1), F.ceil(F.round(F.col("n_total") * float(k), 9))).cast("long")
+        group = F.struct(
+            F.col("score"), top.alias("top"), (top - above).alias("take"), F.col("n"), p_above.alias("p_above"), F.col("p")
+        )
+        out.append(F.max(F.when((above < top) & (top <= above + F.col("n")), group)).alias(f"_k{i}"))
+    return out
+
+
+def _lift_rows(df: DataFrame, y: str, score: str, id_col: str, ks: Sequence[float], head) -> list[dict]:
+    """Lift rows from the aggregated cells; groups of equal scores that a cut divides are ordered by id."""
+    total, positives = head["_n"] or 0, head["_p"] or 0
+    groups = {k: head[f"_k{i}"] for i, k in enumerate(ks)} if total else {}
+    inside = {k: g["p"] for k, g in groups.items()}
+    split = {k: g for k, g in groups.items() if g["take"] < g["n"]}
+    if split:
+        value = F.col(score).cast("double") + F.lit(0.0)
+        ties = df.where(value.isin(*{g["score"] for g in split.values()})).select(
+            F.col(id_col).cast("double").alias("_id"),
+            value.alias("_s"),
+            (F.col(y) == 1).cast("long").alias("_y"),
+            F.lit(1).alias("one"),
+        )
+        cells = [
+            F.sum(F.when((F.col("_s") == g["score"]) & (F.col("one_before") < g["take"]), F.col("_y"))).alias(f"c{i}")
+            for i, g in enumerate(split.values())
+        ]
+        row = running(ties, "_id", ["one"], by=["_s"]).agg(*cells).first()
+        inside |= {k: row[f"c{i}"] or 0 for i, k in enumerate(split)}
+    base = positives / total if total else 0.0
+    rows = []
+    for k, g in groups.items():
+        n, top = g["top"], int(g["p_above"] + inside[k])
+        rows.append(
+            {
+                "top_k": f"Top {round(k * 100)}%",
+                "top_k_rate": float(k),
+                "top_n": n,
+                "base_positive_rate": base,
+                "top_positive_rate": top / n,
+                "lift": top / n / base if base > 0 else None,
+                "captured_positive_count": top,
+                "capture_rate": top / positives if positives else None,
+            }
+        )
+    return rows
+
+
+LIFT_SCHEMA = (
+    "top_k string, top_k_rate double, top_n long, base_positive_rate double, top_positive_rate double, "
+    "lift double, captured_positive_count long, capture_rate double"
+)
+
+
 def lift(
     df: DataFrame, y: str, score: str, ks: Sequence[float] = LIFT_SHARES, id_col: str = "user_id"
 ) -> DataFrame:
     """Positive rate, lift and capture of the top share of the ranking; ties by least (numeric) id.
 
-    Whole score groups are added up; only the group a cut falls into is ordered by id.  A score shared by a
-    third of the rows is thus counted, not sorted in one task.
+    Whole score groups are added up; only a group that a cut divides is ordered by id, range by range.  A
+    score shared by a third of the rows is thus counted, not sorted in one task.
     """
-    spark = df.sparkSession
-    flat = df.where(F.col(score).isNotNull()).select(
-        F.col(id_col).cast("double").alias("_id"),
-        (F.col(score).cast("double") + F.lit(0.0)).alias("_s"),
-        (F.col(y) == 1).cast("long").alias("p"),
-    )
-    groups = flat.groupBy((-F.col("_s")).alias("order")).agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p"))
-    ranked = running(groups, "order", ["n", "p"]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        head = ranked.agg(F.max("n_total").alias("n"), F.max("p_total").alias("p")).first()
-        total, positives = head["n"] or 0, head["p"] or 0
-        cuts = {k: max(1, math.ceil(round(total * k, 9))) for k in ks} if total else {}
-        bound = {}
-        if cuts:
-            cells = [
-                F.max(
-                    F.when(
-                        (F.col("n_before") < n) & (n <= F.col("n_before") + F.col("n")),
-                        F.struct(-F.col("order"), F.lit(n) - F.col("n_before"), F.col("n"), F.col("p_before"), F.col("p")),
-                    )
-                ).alias(f"c{i}")
-                for i, n in enumerate(cuts.values())
-            ]
-            row = ranked.agg(*cells).first()
-            bound = {k: tuple(row[f"c{i}"]) for i, k in enumerate(cuts)}
-    finally:
-        ranked.unpersist()
-    split = {k: b for k, b in bound.items() if b[1] < b[2]}  # cut inside a group of equal scores
-    inside = {k: b[4] for k, b in bound.items() if k not in split}
-    if split:
-        ties = flat.where(F.col("_s").isin(*{b[0] for b in split.values()})).withColumn("one", F.lit(1))
-        placed = running(ties, "_id", ["one"], by=["_s"])
-        row = placed.agg(
-            *[
-                F.coalesce(F.sum(F.when((F.col("_s") == b[0]) & (F.col("one_before") < b[1]), F.col("p"))), F.lit(0)).alias(f"c{i}")
-                for i, b in enumerate(split.values())
-            ]
-        ).first()
-        inside |= {k: row[f"c{i}"] for i, k in enumerate(split)}
-    base = positives / total if total else 0.0
-    rows = []
-    for k, n in cuts.items():
-        top = int(bound[k][3] + inside[k])
-        rows.append(
-            (
-                f"Top {round(k * 100)}%", float(k), n, base, top / n,
-                top / n / base if base > 0 else None, top, top / positives if positives else None,
-            )
-        )
-    return spark.createDataFrame(
-        rows,
-        "top_k string, top_k_rate double, top_n long, base_positive_rate double, top_positive_rate double, "
-        "lift double, captured_positive_count long, capture_rate double",
-    )
+    head = score_table(df, y, score).agg(*_lift_cells(ks)).first()
+    return df.sparkSession.createDataFrame(_lift_rows(df, y, score, id_col, ks, head), LIFT_SCHEMA)
+
+
+def judge_classes(scored: DataFrame, y: str, score: str, id_col: str, t: float = 0.5) -> tuple[dict, list, list]:
+    """All class measures, lift rows and confusion cells of a scored table from one pass over its score table."""
+    p, m, up = F.col("p"), F.col("n") - F.col("p"), F.col("score") >= t
+    counts = {"tp": (p, up), "fp": (m, up), "fn": (p, ~up), "tn": (m, ~up)}
+    cells = [F.coalesce(F.sum(F.when(gate, v)), F.lit(0)).alias(n) for n, (v, gate) in counts.items()]
+    head = score_table(scored, y, score).agg(*_ranking_cells(), *_lift_cells(LIFT_SHARES), *cells).first()
+    tp, fp, fn, tn = (int(head[c]) for c in ("tp", "fp", "fn", "tn"))
+    n, pos = tp + fp + fn + tn, tp + fn
+    over = lambda a, b: a / b if b else 0.0
+    row = {
+        "row_count": n, "positive_count": pos, "positive_rate": over(pos, n), "threshold": float(t),
+        "accuracy": over(tp + tn, n), "precision": over(tp, tp + fp), "recall": over(tp, pos),
+        "f1": over(2 * tp, 2 * tp + fp + fn), "roc_auc": head["roc_auc"], "pr_auc": head["pr_auc"],
+    }
+    four = [
+        {"actual": a, "predicted": b, "count": c} for a, b, c in ((0, 0, tn), (0, 1, fp), (1, 0, fn), (1, 1, tp))
+    ]
+    return row, _lift_rows(scored, y, score, id_col, LIFT_SHARES, head), four
 
 
 def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -360,11 +407,12 @@ def fit_binary(
         n, p = size["n"], size["p"] or 0
         if n < min_rows or p in (0, n):
             return ModelResult.empty()
-        parts = stratified_split(data, "label", share, seed, id_col)
-        seen = parts.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()
-        seen = {r["is_test"]: r for r in seen}
-        train_n, pos = seen[False]["n"], max(int(seen[False]["p"]), 1)
-        neg = max(train_n - int(seen[False]["p"]), 1)
+        counts = {0: n - p, 1: p}
+        parts = stratified_split(data, "label", share, seed, id_col, counts=counts)
+        test_n = sum(test_sizes(counts, share).values())
+        train_n = n - test_n
+        pos = max(p - test_sizes(counts, share).get(1, 0), 1)
+        neg = max(train_n - pos, 1)
         w = lambda a, b: F.when(F.col("label") == 1, F.lit(a)).otherwise(F.lit(b))
         train = parts.where(~F.col("is_test")).withColumns(
             {"_balanced": w(train_n / (2.0 * pos), train_n / (2.0 * neg)), "_pos": w(neg / pos, 1.0)}
@@ -382,15 +430,13 @@ def fit_binary(
         info = {
             "task": "classification", "target_name": name, "target_col": y, "population": population_name,
             "feature_set": feature_set, "feature_count": len(features),
-            "train_row_count": train_n, "test_row_count": seen[True]["n"],
+            "train_row_count": train_n, "test_row_count": test_n,
         }
 
         def judge(scored: DataFrame, about: dict) -> ModelResult:
-            row = {**threshold_metrics(scored, "label", "score").first().asDict(), **ranking_metrics(scored, "label", "score").first().asDict()}
+            row, top, cells = judge_classes(scored, "label", "score", id_col)
             tag = {k: about[k] for k in ("target_name", "population", "feature_set", "model_type")}
-            top = [{**r.asDict(), **tag} for r in lift(scored, "label", "score", id_col=id_col).collect()]
-            cells = [{**r.asDict(), **tag} for r in confusion(scored, "label", "score").collect()]
-            return ModelResult([{**row, **about}], top, [], cells)
+            return ModelResult([{**row, **about}], [{**r, **tag} for r in top], [], [{**c, **tag} for c in cells])
 
         try:
             return _run(models, train, test, info, features, judge)
@@ -427,12 +473,14 @@ def fit_count(
         size = data.agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
         if size["n"] < min_rows or size["lo"] == size["hi"]:
             return ModelResult.empty()
-        parts = stratified_split(data, None, share, seed, id_col)
-        seen = {r["is_test"]: r["n"] for r in parts.groupBy("is_test").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = {None: size["n"]}
+        parts = stratified_split(data, None, share, seed, id_col, counts=counts)
+        test_n = sum(test_sizes(counts, share).values())
+        train_n = size["n"] - test_n
         train = parts.where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
         glm = GeneralizedLinearRegression(family="poisson", link="log", regParam=1e-4, maxIter=300)
         trees = GBTRegressor(
-            maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=min(100, max(1, seen[False] // 10)),
+            maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=min(100, max(1, train_n // 10)),
             subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed,
         )
         pred = lambda f: f.select(id_col, "label", F.greatest(F.col("prediction"), F.lit(0.0)).alias("pred"))
@@ -442,7 +490,7 @@ def fit_count(
         info = {
             "task": "regression", "target_name": name, "target_col": y, "population": population_name,
             "feature_set": feature_set, "feature_count": len(features),
-            "train_row_count": seen[False], "test_row_count": seen[True],
+            "train_row_count": train_n, "test_row_count": test_n,
         }
 
         def judge(scored: DataFrame, about: dict) -> ModelResult:
@@ -472,6 +520,7 @@ def model_grid(
     leaks = sorted({c for cols in feature_sets.values() for c in cols if late in c})
     if leaks:
         raise ValueError(f"features from the target period: {leaks}")
+    df = settle(df)  # every fit reads it again
     out = ModelResult.empty()
     for pop, rule in populations.items():
         for fs, cols in feature_sets.items():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,6 +32,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """The frame written once to the checkpoint folder: later passes read it, and a lost executor costs no recompute."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
