@@ -49,6 +49,6 @@ registry = Registry()
 
 
 def load() -> Registry:
-    from daymark.catalog import audits, days, models, scalars, segments, users  # noqa: F401
+    from daymark.catalog import audits, days, models, runs, scalars, segments, users  # noqa: F401
 
     return registry

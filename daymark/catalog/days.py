@@ -726,7 +726,7 @@ def _(s, d):
     , f AS (SELECT *, coalesce(balance > 5000, false) AS act FROM cust),
     g AS (SELECT user_id, count(*) OVER (PARTITION BY n_nationkey) AS tot,
       count(*) FILTER (act) OVER (PARTITION BY n_nationkey) - CASE WHEN act THEN 1 ELSE 0 END AS n FROM f)
-    SELECT user_id, n AS class_active_d0_7, coalesce(least(n / nullif(tot - 1, 0), 1.0), 0.0) AS class_active_ratio_d0_7 FROM g
+    SELECT user_id, n AS class_active_d0_7, least(coalesce(n / nullif(tot - 1, 0), 0.0), 1.0) AS class_active_ratio_d0_7 FROM g
     """,
 )
 def _(s, d):

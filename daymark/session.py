@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +34,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The frame written once to the checkpoint folder: later passes read it, and a lost executor costs no recompute."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The frame written once as a table beside the checkpoints and read back.
+
+    Later passes read only the columns they need, sizes are known to the optimizer, and a lost executor costs no
+    recompute of what came before.  The tables stay with the checkpoints for the cluster to clean.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/daymark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -48,6 +54,7 @@ def local(app: str = "daymark", cores: str = "*", partitions: int = 8, memory: s
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .getOrCreate()
