@@ -28,6 +28,7 @@ from daymark.functions import MetricSpec, digits
 from daymark.operators import ordering as od
 from daymark.operators import quality as ql
 from daymark.operators.tables import exclude_ids
+from daymark.session import settle
 
 add = registry.add
 INF = float("inf")
@@ -58,6 +59,11 @@ def customer_mart(s, d):
     )
 
 
+def settled_mart(s, d):
+    """The mart written once, for operators that read it several times."""
+    return settle(customer_mart(s, d))
+
+
 @add(
     "quantiles",
     """
@@ -94,7 +100,7 @@ def _(s, d):
     """,
 )
 def _(s, d):
-    return od.average_ranks(table(s, d, "lineitem"), "l_quantity")
+    return od.average_ranks(table(s, d, "lineitem"), ["l_quantity"]).select("value", "rank")
 
 
 @add(
@@ -106,7 +112,7 @@ def _(s, d):
     """,
 )
 def _(s, d):
-    return ql.distribution(customer_mart(s, d), "order_count")
+    return ql.distribution(settled_mart(s, d), "order_count")
 
 
 @add(
@@ -250,7 +256,7 @@ OUT_COLS = ["order_count", "spend", "accepted"]
     ),
 )
 def _(s, d):
-    out = ql.outlier_profile(customer_mart(s, d), OUT_COLS, expected_max={"order_count": 20, "accepted": 30})
+    out = ql.outlier_profile(settled_mart(s, d), OUT_COLS, expected_max={"order_count": 20, "accepted": 30})
     return out.withColumn("mean", F.round("mean", 6))
 
 
@@ -306,7 +312,7 @@ EXTREME = MART_SQL + """
 
 
 def _inflated(s, d):
-    m = customer_mart(s, d).select("user_id", "spend", "order_count")
+    m = settled_mart(s, d).select("user_id", "spend", "order_count")
     top = m.agg(F.max("spend").alias("t"))
     return m.withColumn("spend", F.when(F.col("spend") == top.scalar(), F.col("spend") * 20).otherwise(F.col("spend")))
 
@@ -344,7 +350,7 @@ def _(s, d):
     """,
 )
 def _(s, d):
-    m = customer_mart(s, d)
+    m = settled_mart(s, d)
     cap = od.quantile_values(m, ["order_count"], 0.99)["order_count"]
     reduced = exclude_ids(m, m.where(F.col("order_count") > cap), "user_id")
     M = [MetricSpec("user_count", "distinct", "user_id"), MetricSpec("mean_orders", "mean", "order_count")]
@@ -397,7 +403,7 @@ def _(s, d):
     """,
 )
 def _(s, d):
-    m = customer_mart(s, d).withColumn("zero", F.lit(0))
+    m = settled_mart(s, d).withColumn("zero", F.lit(0))
     return (
         ql.validate_result(m, "mart", ["user_id"], ["order_count", "accepted"])
         .unionByName(ql.validate_result(m, "zeros", ["user_id"], ["zero"]))
@@ -416,7 +422,7 @@ P_COLS = ["order_count", "spend", "line_count", "accepted", "balance"]
     ),
 )
 def _(s, d):
-    m = customer_mart(s, d).withColumn("constant", F.lit(3))
+    m = settled_mart(s, d).withColumn("constant", F.lit(3))
     return ql.pearson(m, [*P_COLS, "constant"]).withColumn("corr", F.round("corr", 6))
 
 
@@ -449,7 +455,7 @@ def _(s, d):
 )
 def _(s, d):
     # rare is 0 for all but a few users, so its p99 is 0 and clipping empties it
-    m = customer_mart(s, d).select("user_id", "spend", "balance", F.when(F.col("user_id") < 3, 5.0).alias("rare"))
+    m = settled_mart(s, d).select("user_id", "spend", "balance", F.when(F.col("user_id") < 3, 5.0).alias("rare"))
     return ql.winsorize(m, ["spend", "balance", "rare"], 0.99, "clip")
 
 
@@ -462,7 +468,7 @@ def _(s, d):
     """,
 )
 def _(s, d):
-    m = customer_mart(s, d).select("user_id", "spend", "balance", F.when(F.col("user_id") < 3, 5.0).alias("rare"))
+    m = settled_mart(s, d).select("user_id", "spend", "balance", F.when(F.col("user_id") < 3, 5.0).alias("rare"))
     return ql.winsorize(m, ["spend", "balance", "rare"], 0.9, "skip")
 
 
@@ -555,7 +561,7 @@ def _(s, d):
     ),
 )
 def _(s, d):
-    out = ql.target_overview(customer_mart(s, d), {"payment_count": "order_count", "bought": "spend"})
+    out = ql.target_overview(settled_mart(s, d), {"payment_count": "order_count", "bought": "spend"})
     return out.withColumn("mean", F.round("mean", 6))
 
 

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from daymark.catalog import registry
-from daymark.catalog.audits import MART_SQL, customer_mart
+from daymark.catalog.audits import MART_SQL, customer_mart, settled_mart
 from daymark.catalog.days import event_d3_mart
 from daymark.catalog.fixtures import table
 from daymark.operators import cluster as cl
@@ -30,7 +30,7 @@ FEATURES_SQL = MART_SQL + """
 
 
 def _raw_features(s, d):
-    m = customer_mart(s, d)
+    m = settled_mart(s, d)
     return m.select(
         "user_id",
         "segment",
@@ -94,7 +94,7 @@ def _(s, d):
     """,
 )
 def _(s, d):
-    m = customer_mart(s, d).withColumns({"often": (F.col("order_count") > 10).cast("int"), "constant": F.lit(2)})
+    m = settled_mart(s, d).withColumns({"often": (F.col("order_count") > 10).cast("int"), "constant": F.lit(2)})
     out = cl.raw_axis_score(m, ["spend", "often", "constant", "absent"], "score")
     return out.select("user_id", F.round("score", 6).alias("score"))
 
@@ -296,7 +296,7 @@ def _(s, d):
     """,
 )
 def _(s, d):
-    m = customer_mart(s, d).withColumns(
+    m = settled_mart(s, d).withColumns(
         {
             "received_vote_yn_d0_3": F.when(F.col("accepted") > 0, "yes").otherwise("no"),
             "sent_vote_experience_d0_3": F.col("line_count") > 40,
@@ -427,7 +427,7 @@ SEND = [
 
 
 def _buyers_mart(s, d):
-    m = customer_mart(s, d)
+    m = settled_mart(s, d)
     return m.withColumns({"paid": (F.col("spend") > 1500000).cast("int"), "region": F.col("n_regionkey").cast("double")})
 
 

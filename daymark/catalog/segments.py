@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daymark.catalog import registry
-from daymark.catalog.audits import MART_SQL, customer_mart
+from daymark.catalog.audits import MART_SQL, customer_mart, settled_mart
 from daymark.catalog.days import win
 from daymark.catalog.fixtures import EO, EV, US, ctes, events, of_type, users
 from daymark.functions import MetricSpec, bucket_label
@@ -106,7 +106,7 @@ def _(s, d):
         MetricSpec("p75", "quantile", "spend", q=0.75),
         MetricSpec("median_positive", "quantile", "order_count", "order_count > 0", q=0.5),
     ]
-    return sg.summarize(customer_mart(s, d), ["segment"], M)
+    return sg.summarize(settled_mart(s, d), ["segment"], M)
 
 
 @add(

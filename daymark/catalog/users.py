@@ -10,6 +10,7 @@ from daymark.functions import MetricSpec
 from daymark.operators import daily as dy
 from daymark.operators.metrics import attendance_summary
 from daymark.operators.windows import assemble
+from daymark.session import settle
 
 add = registry.add
 DEAL = ctes(ORD, DEALS)
@@ -114,7 +115,7 @@ def _(s, d):
     ),
 )
 def _(s, d):
-    return dy.role_compare(_roles(s, d), ["asker", "chosen"], ["record_count", "has_read_sum", "opened_times_sum"])
+    return dy.role_compare(settle(_roles(s, d)), ["asker", "chosen"], ["record_count", "has_read_sum", "opened_times_sum"])
 
 
 @add(

@@ -126,7 +126,7 @@ def quantile_values(df: DataFrame, cols: Sequence[str], q: float) -> dict[str, f
     return {c: found.get(c) for c in cols}
 
 
-def average_ranks(df: DataFrame, col: str) -> DataFrame:
-    """(value, rank): mean position of each value, ties sharing their average."""
-    ranked = ranked_values(df, [col])
-    return ranked.select("value", (F.col("n_before") + (F.col("n") + 1) / 2.0).alias("rank"))
+def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, rank): mean position of each value, ties sharing their average."""
+    ranked = ranked_values(df, cols)
+    return ranked.select("column", "value", (F.col("n_before") + (F.col("n") + 1) / 2.0).alias("rank"))

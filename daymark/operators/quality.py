@@ -13,6 +13,7 @@ from daymark.operators.ordering import average_ranks, quantile_columns, quantile
 from daymark.operators.segments import label_frame, summarize, with_share
 from daymark.operators.tables import bucketize, pivot_fill, union_all
 from daymark.operators.windows import Windows, compare, window_metrics
+from daymark.session import settle
 
 EMPTY_LABEL = "(none)"
 
@@ -376,11 +377,12 @@ def spearman(df: DataFrame, features: Sequence[str], targets: Sequence[str]) ->
     values have a rank table small enough for Spark to broadcast at run time.
     """
     cols = list(dict.fromkeys([*features, *targets]))
-    clean = df.select(*[(num(c) + F.lit(0.0)).alias(c) for c in cols])
+    clean = settle(df.select(*[(num(c) + F.lit(0.0)).alias(c) for c in cols]))  # read once per column below
+    table = settle(average_ranks(clean, cols))
     ranked = clean
     for c in cols:
-        table = average_ranks(clean, c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        ranked = ranked.join(table, c)
+        own = table.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
+        ranked = ranked.join(own, c)
     ranks = ranked.select(*[F.col(f"_r_{c}").alias(c) for c in cols])
     out = _pairs(ranks, [(t, f) for t in targets for f in features], ("target", "feature"), "spearman_corr")
     return out.withColumn("abs_corr", F.abs("spearman_corr"))
