@@ -12,7 +12,8 @@ from daymark.catalog.fixtures import table
 from daymark.operators import cluster as cl
 from daymark.operators import predict as pd
 from daymark.operators.segments import profile
-from daymark.operators.tables import union_all
+from daymark.plans import d3_models
+from daymark.session import settle
 
 add = registry.add
 
@@ -415,17 +416,6 @@ def _(s, d):
     return out.withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "r2")})
 
 
-ENV = ["friends_d3", "class_users_d0_3", "grade_users_d0_3", "class_active_users_d0_3", "grade_active_users_d0_3"]
-RECEIVE = [
-    "received_vote_yn_d0_3", "received_vote_count_d0_3", "received_vote_days_d0_3", "first_received_vote_day_d0_3",
-    "point_use_after_received_vote_yn_d0_3", "point_use_after_received_vote_count_d0_3",
-]
-SEND = [
-    "sent_vote_experience_d0_3", "sent_vote_count_d0_3", "sent_vote_complete_count_d0_3", "sent_vote_active_days_d0_3",
-    "sent_vote_distinct_chosen_users_d0_3", "sent_vote_distinct_questions_d0_3", "sent_vote_complete_rate_d0_3",
-]
-
-
 def _buyers_mart(s, d):
     m = settled_mart(s, d)
     return m.withColumns({"paid": (F.col("spend") > 1500000).cast("int"), "region": F.col("n_regionkey").cast("double")})
@@ -450,19 +440,14 @@ def _(s, d):
     return out if out is not None else s.createDataFrame([], "feature string, importance double")
 
 
-def _grid(s, d):
-    mart = event_d3_mart(s, d)
-    targets = {
-        "returned": "returned_d4_28", "paid": "paid_d4_28", "payment_count": "payment_count_d4_28",
-        "active_days": "active_days_d4_28", "bought_hearts": "bought_hearts_d4_28",
-    }
-    populations = {"all": None, "relation": "received_vote_yn_d0_3 = 1 or sent_vote_experience_d0_3"}
-    return pd.model_grid(mart, populations, {"env": ENV, "all": ENV + RECEIVE + SEND}, targets, rounds=2)
+@add("model_grid")
+def _(s, d):
+    return d3_models.basic_grid(settle(event_d3_mart(s, d)), rounds=2).metrics_frame(s)
 
 
-@add("model_grid")
+@add("extra_model_grid")
 def _(s, d):
-    return _grid(s, d).metrics_frame(s)
+    return d3_models.extra_grid(settle(event_d3_mart(s, d)), rounds=1).metrics_frame(s)
 
 
 @add("best_models")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from daymark.catalog import registry
@@ -44,7 +46,8 @@ from daymark.operators.tables import (
     require,
     union_all,
 )
-from daymark.sources import check_sources, read_mart, read_source, resolve_column
+from daymark.session import checkpoint_dir
+from daymark.sources import check_sources, read_mart, read_source, reload_output, resolve_column, write_output
 
 add = registry.add
 INF = float("inf")
@@ -64,6 +67,12 @@ def _(s, d):
     return read_mart(s, f"{d}/customer.parquet", id_col="c_custkey")
 
 
+@add("write_and_reload", ctes(ORD) + "SELECT user_id, day, count(*) AS n FROM ord GROUP BY 1, 2")
+def _(s, d):
+    per_day = orders(s, d).groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
+    return reload_output(s, write_output(per_day, f"{checkpoint_dir(s)}/orders-{uuid.uuid4().hex}"))
+
+
 @add(
     "check_sources",
     """

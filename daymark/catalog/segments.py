@@ -33,14 +33,23 @@ LABEL_VALUES = "(VALUES ('0', 0), ('1-3', 1), ('4-10', 2), ('11-50', 3), ('51+',
 
 
 def intensity_mart(s, d):
+    """Clicks of days 0-7, return on day 1, purchases of days 8-9 and later days, all from one scan of the events."""
     u = users(s, d)
-    clicks = window_metrics(
-        of_type(s, d, "click"), u, pick("d0_7"), [MetricSpec("clicks", "rows"), MetricSpec("click_days", "days")]
-    )
-    back = window_metrics(events(s, d), u, {"d1": (1, 1)}, [MetricSpec("back", "flag")])
-    later = window_metrics(events(s, d), u, pick("d8_28"), [MetricSpec("later", "days")])
-    pay = payment_metrics(of_type(s, d, "purchase"), u, {"d8_9": (8, 9)})
-    mart = user_mart(u.select("user_id"), clicks, back, later, pay)
+    W = pick("d0_7", "d8_28") | {"d1": (1, 1), "d8_9": (8, 9)}
+    click, bought = "event_type = 'click'", "event_type = 'purchase'"
+    M = [
+        MetricSpec("clicks", "rows", where=click),
+        MetricSpec("click_days", "days", where=click),
+        MetricSpec("back", "flag"),
+        MetricSpec("later", "days"),
+        MetricSpec("payment_count", "rows", where=bought),
+        MetricSpec("payment_amount", "sum", "value", where=bought),
+        MetricSpec("paid_flag", "flag", where=bought),
+    ]
+    mart = window_metrics(events(s, d), u, W, M).select(
+        "user_id", "clicks_d0_7", "click_days_d0_7", "back_d1", "later_d8_28",
+        "payment_count_d8_9", "payment_amount_d8_9", "paid_flag_d8_9",
+    )
     return bucketize(mart, "clicks_d0_7", EDGES, LABELS, "bucket").withColumn(
         "sender_group", F.when(F.col("clicks_d0_7") > 0, "experienced").otherwise("none")
     )

@@ -73,21 +73,22 @@ def _partials(m: MetricSpec) -> dict[str, Column]:
 
 
 def _finals(m: MetricSpec, w: str, W: Windows) -> Column:
-    inside = in_window("day_offset", w, W)
-    p = F.when(inside, F.col(m.name))
-    if m.kind in ("rows", "count", "sum"):
-        out = F.coalesce(F.sum(p), F.lit(0))
-    elif m.kind == "days":
-        out = F.count_if(inside & (F.col(m.name) > 0))
-    elif m.kind == "flag":
-        out = F.coalesce(F.max(p), F.lit(0)) > 0
-    elif m.kind == "mean":
-        out = F.try_divide(F.sum(p).cast("double"), F.sum(F.when(inside, F.col(f"{m.name}__n"))))
-    elif m.kind == "min":
-        out = F.min(p)
-    else:
-        out = F.max(p)
-    return out.alias(f"{m.name}_{w}")
+    """The metric in one window from daily partials.
+
+    Written as SQL text: with many metrics and windows, one expression string per column keeps plan building short.
+    """
+    inside = "day_offset between {} and {}".format(*W[w])
+    part = f"case when {inside} then `{m.name}` end"
+    text = {
+        "rows": f"coalesce(sum({part}), 0)",
+        "days": f"count_if({inside} and `{m.name}` > 0)",
+        "flag": f"coalesce(max({part}), 0) > 0",
+        "mean": f"try_divide(cast(sum({part}) as double), sum(case when {inside} then `{m.name}__n` end))",
+        "min": f"min({part})",
+        "max": f"max({part})",
+    }
+    text["count"] = text["sum"] = text["rows"]
+    return F.expr(text[m.kind]).alias(f"{m.name}_{w}")
 
 
 def distinct_in_windows(
@@ -95,35 +96,35 @@ def distinct_in_windows(
 ) -> DataFrame:
     """Different values of each item column per user and window: `<name>_<window>`.
 
-    All item columns share one pass: rows become (user, name, item, day), repeats go first, then each
-    (user, name, item) gets one flag per window, and flags are added up.  The number of shuffles does not
-    depend on how many columns or windows are counted, and no step gathers the items of one user.
+    Rows meet the signup day while still narrow and lose what lies outside every window; then each
+    (user, name, item) collapses to a bit mask of the windows it was seen in, and the bits are added up per
+    user.  The number of shuffles does not depend on how many columns or windows are counted, and the items of
+    one user are spread over all tasks: a hot user's side of the join is split by Spark (see
+    `daymark.session`), and both groupings combine on the map side.
     """
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("name"), F.col(col).cast("string").alias("item"))
-                for name, col in items.items()
-            ]
-        )
-    )
-    long = df.select(F.col(user_col).alias("user_id"), F.col(date_col).alias("day"), pairs.alias("_p"))
-    triples = long.select("user_id", "day", "_p.name", "_p.item").where(
-        "user_id is not null and day is not null and item is not null"
-    ).distinct()
-    placed = triples.join(users.select("user_id", "signup_date"), "user_id").withColumn(
+    kinds = dict(df.dtypes)
+    same = len({kinds[c] for c in items.values()}) == 1
+    keyed = df.select(
+        F.col(user_col).alias("user_id"),
+        F.col(date_col).alias("day"),
+        *[(F.col(c) if same else F.col(c).cast("string")).alias(name) for name, c in items.items()],
+    ).where("user_id is not null and day is not null")
+    placed = keyed.join(users.select("user_id", "signup_date"), "user_id").withColumn(
         "day_offset", F.datediff("day", "signup_date")
     )
-    seen = (
-        placed.where(_span("day_offset", W))
-        .groupBy("user_id", "name", "item")
-        .agg(*[F.max(in_window("day_offset", w, W).cast("int")).alias(f"_{w}") for w in W])
-    )
+    mask = F.expr(" | ".join(f"if(day_offset between {a} and {b}, {1 << i}L, 0L)" for i, (a, b) in enumerate(W.values())))
+    inside = placed.where(_span("day_offset", W)).select("user_id", mask.alias("_mask"), *items)
+    if len(items) > 1:
+        pairs = [F.struct(F.lit(n).alias("name"), F.col(n).alias("item")) for n in items]
+        long = inside.select("user_id", "_mask", F.inline(F.array(*pairs)))
+    else:
+        long = inside.select("user_id", "_mask", *[c for n in items for c in (F.lit(n).alias("name"), F.col(n).alias("item"))])
+    seen = long.where("item is not null").groupBy("user_id", "name", "item").agg(F.bit_or("_mask").alias("_mask"))
     return seen.groupBy("user_id").agg(
         *[
-            F.sum(F.when(F.col("name") == name, F.col(f"_{w}")).otherwise(0)).alias(f"{name}_{w}")
+            F.expr(f"count_if(name = '{name}' and (_mask & {1 << i}L) != 0)").alias(f"{name}_{w}")
             for name in items
-            for w in W
+            for i, w in enumerate(W)
         ]
     )
 
