@@ -450,11 +450,12 @@ def _(s, d):
     MART_SQL
     + """
     SELECT user_id, least(greatest(spend, 0), (SELECT quantile_cont(spend, 0.99) FROM m)) AS spend,
-      least(greatest(balance, 0), (SELECT quantile_cont(balance, 0.99) FROM m)) AS balance, 0.0 AS rare FROM m
+      least(greatest(balance, 0), (SELECT quantile_cont(balance, 0.99) FROM m)) AS balance,
+      least(CASE WHEN user_id < 3 THEN 5.0 ELSE 0.0 END, (SELECT quantile_cont(CASE WHEN user_id < 3 THEN 5.0 ELSE 0.0 END, 0.99) FROM m)) AS rare FROM m
     """,
 )
 def _(s, d):
-    # rare is 0 for all but a few users, so its p99 is 0 and clipping empties it
+    # rare is 0 for all but a few users; from a few hundred users on its p99 is 0 and clipping empties it
     m = settled_mart(s, d).select("user_id", "spend", "balance", F.when(F.col("user_id") < 3, 5.0).alias("rare"))
     return ql.winsorize(m, ["spend", "balance", "rare"], 0.99, "clip")
 

@@ -320,7 +320,7 @@ def _(s, d):
     g = parts.groupBy("quality").agg(F.count(F.lit(1)).alias("class_rows"), F.count_if("is_test").alias("t"))
     total = g.agg(F.sum("t").alias("t"))
     return g.select(
-        "quality", "class_rows", (F.abs(F.col("t") - 0.3 * F.col("class_rows")) <= 1).alias("close"), total.scalar().alias("test_in_total")
+        "quality", "class_rows", (F.abs(F.col("t") - 0.3 * F.col("class_rows")) < 2).alias("close"), total.scalar().alias("test_in_total")
     )
 
 
