@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -25,25 +26,50 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a temporary one only where none is named."""
+    """The shared checkpoint folder named by the cluster.
+
+    Where none is named, a single-machine session (as in tests) gets a temporary folder; on a cluster that would be a
+    different disk on each machine, so the caller must name a shared path.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir, or call setCheckpointDir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="daymark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+_scratch: list[list[str]] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The frame written once as a table beside the checkpoints and read back.
 
     Later passes read only the columns they need, sizes are known to the optimizer, and a lost executor costs no
-    recompute of what came before.  The tables stay with the checkpoints for the cluster to clean.
+    recompute of what came before.  Inside `scratch` the tables go when the block ends; else the cluster cleans them
+    with the checkpoints.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/daymark-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Remove the tables that `settle` writes inside the block; write or collect the results before it ends."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _scratch.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
