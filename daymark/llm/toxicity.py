@@ -1,7 +1,7 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms are lower-cased runs of letters and digits, each counted once per text.  From a bounded sample of labelled texts,
-the terms whose presence depends most on the label (chi-square, one grouped count) are kept; they are hashed into
+the terms whose presence depends most on the label (chi-square with continuity correction, one grouped count) are kept; they are hashed into
 a fixed number of features, and Spark's factorization machine learns a weight per feature and a vector whose inner
 products weigh pairs of terms, such as an insult with a group's name.  Every text is scored as a whole.
 
@@ -20,6 +20,7 @@ from daymark.session import settle
 
 TRAIN_ROWS = 5000  # labelled texts per class that are learned from, at most; the lowest hashes of their ids
 TERMS = 512  # terms kept
+CLEAR = 24.0  # least chi-square of a kept term: one in a million by chance, as very many terms are tried
 LEAST_TEXTS = 4  # training texts that a kept term occurs in, at least
 FEATURES = 1 << 13
 FACTORS = 4
@@ -58,12 +59,13 @@ def telling_terms(train: DataFrame, n: int = TERMS, least: int = LEAST_TEXTS) ->
     if not n1 or not n0:
         return []
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n1 + n0 - a - b + 1.0) * n1 * n0)
+    off = F.greatest(F.abs(a * n0 - b * n1) - (n1 + n0) / 2, F.lit(0.0))
+    chi = (n1 + n0) * off**2 / ((a + b) * (n1 + n0 - a - b + 1.0) * n1 * n0)
     found = (
         train.select("label", F.explode("terms").alias("term"))
         .groupBy("term").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
         .where(F.col("a") + F.col("b") >= least)
-        .select("term", chi.alias("chi"))
+        .select("term", chi.alias("chi")).where(F.col("chi") >= CLEAR)
         .orderBy(F.desc("chi"), "term").limit(n)
     )
     return [r["term"] for r in found.collect()]
@@ -93,14 +95,14 @@ class ToxicityModel:
         # 2 * rows ids at most, so the broadcast is bounded and whole texts are not shuffled
         ids = settle(training_ids(labels, id_col, label_col, rows))
         own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        train = settle(own.join(F.broadcast(ids), "id").select("label", terms(F.col("text")).alias("terms")))
+        found = own.join(F.broadcast(ids), "id").select("label", terms(F.col("text")).alias("terms"))
+        train = settle(found.distinct())  # copies of a text teach nothing more
         self.kept = telling_terms(train, self.n_terms)
         sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         if len(sizes) < 2:
             self.constant, self.model = float(1 in sizes), None
             return self
         self.constant = None
-        # texts with the same kept terms are one row with a count; few parts keep the rounds short
         rows_ = self._featured(train, F.col("terms")).select(F.col("label").cast("double").alias("label"), "_features")
         learner = FMClassifier(
             featuresCol="_features", labelCol="label", factorSize=self.factors, maxIter=self.rounds, stepSize=0.2,
