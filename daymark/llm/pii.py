@@ -256,6 +256,10 @@ def _sorted_spans(spans: Column) -> Column:
     return F.sort_array(keyed)
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("f.base", lambda s: s["kind"] == kind)).cast("long")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: id, n_email, n_ip, n_card, n_phone, base_sha256, spans (array, base and added, sorted).
 
@@ -266,7 +270,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spans = _sorted_spans(F.concat("f.base", _added(accepted(fit(found)))))
     return found.select(
         F.col("id").alias(id_col),
-        *[F.size(F.filter("f.base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[_count(k).alias(f"n_{k}") for k in KINDS],
         F.col("f.base_sha256").alias("base_sha256"),
         spans.alias("spans"),
     )

@@ -1,11 +1,12 @@
 """Quotation linking for conversations, in DataFrame expressions only.
 
-A line's quote level is the number of `>` before it.  Passages are lines and whole paragraphs (neighbouring lines of one
-level without a blank line between), lower-cased with white space collapsed, and known by their hash.  A quoted passage
-belongs to the earliest turn of its conversation that wrote it unquoted, so each hash has one origin and a common
-line links nothing twice.  A message replies to the turn from which its shallowest linked quotes take most characters
-(ties: the later turn).  Roots and depths follow from the reply links by doubling, and messages are ordered by the turn of
-their root and then their own; positions come from counts over ranges, so a conversation may hold any share of the rows.
+A line's quote level is the number of `>` in the run of blanks and `>` that it begins with.  Passages are lines and whole
+paragraphs (neighbouring lines of one level without a blank line between), lower-cased with white space collapsed, and
+known by their hash.  A quoted passage belongs to the earliest turn of its conversation that wrote it unquoted, so each
+hash has one origin and a common line links nothing twice.  A message replies to the turn from which its shallowest
+linked quotes take most characters (ties: the later turn).  Roots and depths follow from the reply links by doubling, and
+messages are ordered by the turn of their root and then their own; positions come from counts over ranges, so a
+conversation may hold any share of the rows.
 
 The text without quotes leaves out quoted lines and the line `On ... wrote:` that introduces them.
 """
@@ -19,7 +20,7 @@ from daymark.llm.text import key
 from daymark.operators.ordering import running
 from daymark.session import settle
 
-MARK = r"^(?:[ \t]{0,3}>)+"
+MARK = r"^[ \t>]*>"  # one character class: no recursion in the matcher, however long the run
 INTRODUCES = r"(?i)^\s*on\b.*\bwrote:\s*$"
 MESSAGE = ["conv_key", "turn", "text_hash"]
 
