@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from daymark.catalog import registry
@@ -166,58 +166,103 @@ def _embeddings(s, d):
     return table(s, d, "embeddings").withColumn("features", array_to_vector("embedding"))
 
 
-@add("sweep_kmeans")
-def _(s, d):
-    out, _t, _k = cl.cluster_features(_raw_features(s, d), SPEC)
-    return cl.sweep_kmeans(out, ks=range(2, 5), seeds=(42,))[0]
-
-
-@add("kmeans_assign")
+@add(
+    "sweep_kmeans",
+    MART_SQL
+    + """
+    SELECT k, (SELECT count(*) FROM m) AS rows_clustered, k AS clusters, true AS nearest, true AS cost_fits, true AS silhouette_in_range, true AS cost_falls
+    FROM (SELECT unnest(range(2, 9)) AS k)
+    """,
+)
 def _(s, d):
-    emb = _embeddings(s, d)
-    _table, models = cl.sweep_kmeans(emb, ks=[4], seeds=(42,))
-    return cl.assign(models[4], emb).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    """Every k of the sweep, with facts checked on all rows: each sits at its nearest centre and the cost is their sum."""
+    data = settle(cl.cluster_features(_raw_features(s, d), SPEC)[0])
+    metrics, models = cl.sweep_kmeans(data)
+    costs = {r["k"]: r["inertia"] for r in metrics.collect()}
+    out = None
+    for k, model in models.items():
+        facts = _at_nearest(cl.assign(model, data), model).select(
+            F.lit(k).alias("k"),
+            F.col("n").alias("rows_clustered"),
+            F.col("clusters"),
+            F.col("nearest"),
+            (F.abs(F.col("cost") - costs[k]) <= 1e-6 * costs[k] + 1e-9).alias("cost_fits"),
+        )
+        out = facts if out is None else out.unionByName(facts)
+    falls = all(costs[k + 1] <= costs[k] * 1.001 for k in list(costs)[:-1])
+    checked = metrics.select("k", (F.abs("silhouette_score") <= 1).alias("silhouette_in_range"), F.lit(falls).alias("cost_falls"))
+    return out.join(checked, "k").withColumns({"k": F.col("k").cast("long"), "clusters": F.col("clusters").cast("long")})
+
+
+def _at_nearest(assigned, model):
+    """Rows, clusters, whether each row sits at its nearest centre, and the sum of squared distances."""
+    x = vector_to_array("features")
+    gaps = [
+        F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        for centre in model.clusterCenters()
+    ]
+    own = F.get(F.array(*gaps), F.col("cluster"))
+    return assigned.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("cluster").alias("clusters"),
+        F.bool_and(own <= F.least(*gaps) + 1e-9).alias("nearest"),
+        F.sum(own).alias("cost"),
+    )
 
 
-@add("project_pca")
+@add(
+    "kmeans_assign",
+    "SELECT count(*) AS n, 4 AS clusters, true AS nearest, true AS cost_fits FROM embeddings",
+)
 def _(s, d):
-    return cl.project_pca(_embeddings(s, d), 2)[0].select("vec_id", "pc1", "pc2")
+    emb = settle(_embeddings(s, d))
+    metrics, models = cl.sweep_kmeans(emb, ks=[4])
+    cost = metrics.first()["inertia"]
+    facts = _at_nearest(cl.assign(models[4], emb), models[4])
+    return facts.select("n", "clusters", "nearest", (F.abs(F.col("cost") - cost) <= 1e-6 * cost + 1e-9).alias("cost_fits"))
 
 
 @add(
-    "quota_sample",
-    """
-    SELECT lang, count(*) AS population, true AS near_its_share,
-      CASE WHEN (SELECT count(*) FROM documents) > 60 THEN 60 ELSE (SELECT count(*) FROM documents) END AS sampled_in_total FROM documents GROUP BY 1
-    """,
+    "project_pca",
+    "SELECT count(*) AS n, true AS uncorrelated, true AS first_is_larger, true AS shares_fit FROM embeddings",
 )
 def _(s, d):
-    docs = table(s, d, "documents").select("doc_id", "lang")
-    got = cl.quota_sample(docs, "lang", 60, id_col="doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    every = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("population"))
-    whole, all_got = docs.agg(F.count(F.lit(1)).alias("n")), got.agg(F.sum("n").alias("n"))
-    # the remainder of the rounding goes to the largest class, so a class is off by less than the number of classes
-    return every.join(got, "lang").select(
-        "lang",
-        "population",
-        (F.abs(F.col("n") - 60 * F.col("population") / whole.scalar()) < 4).alias("near_its_share"),
-        all_got.scalar().alias("sampled_in_total"),
+    """Two components of all rows: uncorrelated, in order, and their variances are the stated shares of the total."""
+    emb = settle(_embeddings(s, d))
+    out, shares = cl.project_pca(emb, 2)
+    dims = len(emb.select("embedding").first()[0])
+    total = sum(emb.agg(*[F.var_samp(F.col("embedding")[i].cast("double")) for i in range(dims)]).first())
+    pair = out.agg(
+        F.count(F.lit(1)).alias("n"), F.corr("pc1", "pc2").alias("c"), F.var_samp("pc1").alias("v1"), F.var_samp("pc2").alias("v2")
     )
+    fits = [F.abs(F.col(f"v{i + 1}") / total - float(v)) < 1e-6 for i, v in enumerate(shares[:2])]
+    return pair.select("n", (F.abs("c") < 1e-6).alias("uncorrelated"), (F.col("v1") >= F.col("v2")).alias("first_is_larger"), (fits[0] & fits[1]).alias("shares_fit"))
+
+
+# one each, the rest in proportion by largest remainder, lowest hashes first
+QUOTA_SQL = """
+    WITH c AS (SELECT lang, count(*) AS c, sum(count(*)) OVER () AS total, count(*) OVER () AS labels FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+    p AS (SELECT *, least(60, total) AS n FROM c),
+    w AS (SELECT *, (c - 1) * (n - labels) // nullif(total - labels, 0) AS whole, (c - 1) * (n - labels) % nullif(total - labels, 0) AS rest FROM p),
+    q AS (SELECT lang, 1 + coalesce(whole, 0) + CASE WHEN row_number() OVER (ORDER BY coalesce(rest, 0) DESC, lang) <= n - labels - sum(coalesce(whole, 0)) OVER () THEN 1 ELSE 0 END AS quota FROM w),
+    r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY CAST(('0x' || substr(md5('42|' || doc_id), 1, 15)) AS BIGINT), doc_id) AS rn FROM documents)
+    SELECT doc_id, r.lang FROM r JOIN q ON r.lang = q.lang WHERE rn <= quota
+    """
+
+
+@add("quota_sample", QUOTA_SQL)
+def _(s, d):
+    return cl.quota_sample(table(s, d, "documents").select("doc_id", "lang"), "lang", 60, id_col="doc_id")
 
 
 @add(
     "random_sample",
-    "SELECT 100 AS n, 100 AS different, true AS from_orders",
+    """
+    SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY CAST(('0x' || substr(md5('42|' || o_orderkey), 1, 15)) AS BIGINT), o_orderkey) AS rn FROM orders) WHERE rn <= 100
+    """,
 )
 def _(s, d):
-    o = table(s, d, "orders").select("o_orderkey")
-    got = cl.random_sample(o, 100, id_col="o_orderkey")
-    known = o.withColumn("known", F.lit(True))
-    return got.join(known, "o_orderkey", "left").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("o_orderkey").alias("different"),
-        F.bool_and(F.coalesce("known", F.lit(False))).alias("from_orders"),
-    )
+    return cl.random_sample(table(s, d, "orders").select("o_orderkey"), 100, id_col="o_orderkey")
 
 
 def _profile(s, d):
@@ -312,16 +357,16 @@ def _(s, d):
 @add(
     "stratified_split",
     """
-    SELECT quality, count(*) AS class_rows, true AS close, CAST(ceil(0.3 * (SELECT count(*) FROM labels)) AS BIGINT) AS test_in_total FROM labels GROUP BY 1
+    WITH c AS (SELECT quality, count(*) AS c, sum(count(*)) OVER () AS total FROM labels GROUP BY 1),
+    w AS (SELECT *, CAST(ceil(round(0.3 * total, 9)) AS BIGINT) AS n FROM c),
+    v AS (SELECT *, c * n // total AS whole, c * n % total AS rest FROM w),
+    q AS (SELECT quality, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, quality) <= n - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM v),
+    r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY CAST(('0x' || substr(md5('42|' || doc_id), 1, 15)) AS BIGINT), doc_id) AS rn FROM labels)
+    SELECT doc_id, r.quality, rn <= quota AS is_test FROM r JOIN q ON r.quality = q.quality
     """,
 )
 def _(s, d):
-    parts = pd.stratified_split(table(s, d, "labels"), "quality", 0.3, id_col="doc_id")
-    g = parts.groupBy("quality").agg(F.count(F.lit(1)).alias("class_rows"), F.count_if("is_test").alias("t"))
-    total = g.agg(F.sum("t").alias("t"))
-    return g.select(
-        "quality", "class_rows", (F.abs(F.col("t") - 0.3 * F.col("class_rows")) < 2).alias("close"), total.scalar().alias("test_in_total")
-    )
+    return pd.stratified_split(table(s, d, "labels").select("doc_id", "quality"), "quality", 0.3, id_col="doc_id")
 
 
 # lengths stand in for a score; rounded to hundreds so that many scores tie
@@ -390,7 +435,7 @@ def _(s, d):
     "lift",
     SCORED_SQL
     + """
-    , o AS (SELECT y, row_number() OVER (ORDER BY score DESC, doc_id) AS rn, count(*) OVER () AS n, sum(y) OVER () AS p FROM s),
+    , o AS (SELECT y, row_number() OVER (ORDER BY score DESC, CAST(('0x' || substr(md5('42|' || doc_id), 1, 15)) AS BIGINT), doc_id) AS rn, count(*) OVER () AS n, sum(y) OVER () AS p FROM s),
     k AS (SELECT * FROM (VALUES ('Top 1%', 0.01), ('Top 3%', 0.03), ('Top 5%', 0.05), ('Top 10%', 0.1), ('Top 100%', 1.0)) t(top_k, top_k_rate)),
     g AS (SELECT top_k, top_k_rate, greatest(1, CAST(ceil(round(n * top_k_rate, 9)) AS BIGINT)) AS top_n, n, p, y, rn FROM o, k)
     SELECT top_k, top_k_rate, top_n, any_value(p) / any_value(n) AS base_positive_rate, sum(y) / top_n AS top_positive_rate,

@@ -28,8 +28,12 @@ def to_day(c) -> Column:
 
 
 def _items(c) -> Column:
-    # lists are written the way Python prints them, so None stands for null
-    return F.from_json(F.regexp_replace(col_of(c), r"\bNone\b", "null"), "array<string>")
+    # lists are written the way Python prints them: None, True and False, and a comma may follow the last item
+    text = F.trim(col_of(c))
+    for word, means in (("None", "null"), ("True", "true"), ("False", "false")):
+        text = F.regexp_replace(text, rf"\b{word}\b", means)
+    text = F.regexp_replace(text, r",\s*\]$", "]")
+    return F.from_json(F.when(text.endswith("]"), text), "array<string>")
 
 
 def list_len(c) -> Column:
@@ -59,9 +63,18 @@ def streak_of(days) -> Column:
     return F.aggregate(col_of(days), start, step, lambda acc: acc["best"])
 
 
-def num(c, default: float | None = 0.0) -> Column:
-    """Number from any type; unreadable, NaN and infinite values become `default`."""
-    value = col_of(c).cast("string").try_cast("double")
+WHOLE = ("tinyint", "smallint", "int", "bigint", "byte", "short", "integer", "long")
+
+
+def num(c, default: float | None = 0.0, dtype: str = "string") -> Column:
+    """Number from any type; unreadable, NaN and infinite values become `default`.
+
+    `dtype` is the Spark type name of the column where it is known: numbers then need no round trip through text.
+    """
+    if dtype in WHOLE or dtype.startswith("decimal"):
+        value = col_of(c).cast("double")
+        return value if default is None else F.coalesce(value, F.lit(float(default)))
+    value = col_of(c).cast("double") if dtype in ("float", "double") else col_of(c).cast("string").try_cast("double")
     finite = F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
     return finite if default is None else F.coalesce(finite, F.lit(float(default)))
 
@@ -77,7 +90,7 @@ def to_binary(c, dtype: str) -> Column:
     elif dtype in ("string", "varchar", "char"):
         hit = F.coalesce(F.lower(F.trim(c)).isin(*TRUE_WORDS), F.lit(False))
     else:
-        hit = num(c) > 0
+        hit = num(c, dtype=dtype) > 0
     return hit.cast("int")
 
 

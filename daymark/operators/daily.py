@@ -179,14 +179,11 @@ def repeat_split(df: DataFrame, criteria: Mapping[str, str | Column], unit: Colu
     """Per criterion, how many rows meet it and how many do not, with the share within the criterion."""
     flags = {n: F.coalesce(F.expr(c) if isinstance(c, str) else c, F.lit(False)) for n, c in criteria.items()}
     cells = [
-        F.count_if(flag == met).alias(f"{name}|{label}")
+        F.struct(F.lit(name).alias("criterion"), F.lit(label).alias("group"), F.count_if(flag == met).alias("row_count"))
         for name, flag in flags.items()
         for label, met in (("repeat", True), ("single", False))
     ]
-    one = df.agg(*cells)
-    long = one.unpivot([], one.columns, "_cell", "row_count")
-    parts = F.split("_cell", r"\|")
-    long = long.select(parts[0].alias("criterion"), parts[1].alias("group"), "row_count")
+    long = df.agg(F.array(*cells).alias("_cells")).select(F.inline("_cells"))
     total = long.groupBy("criterion").agg(F.sum("row_count").alias("_total"))
     return long.where("row_count > 0").join(total, "criterion").select(
         "criterion", "group", "row_count", F.try_divide(F.col("row_count") * 100.0, "_total").alias("ratio_pct")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from daymark.session import shuffle_parts
 
-HASH_SPAN = float(2**63)
+HASH_SPAN = float(2**60)
 
 
 def range_cuts(df: DataFrame, cols: Sequence[str], parts: int | None = None) -> list[float]:
@@ -31,10 +31,25 @@ def range_cuts(df: DataFrame, cols: Sequence[str], parts: int | None = None) ->
     return sorted({v for cuts in row if cuts for v in cuts if v is not None and math.isfinite(v)})
 
 
+def seeded_hash(c: Column | str, seed: int) -> Column:
+    """A whole number in [0, 2^60): the first 15 hex digits of md5(seed, '|', text of c), which any engine can compute."""
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def hash_cuts(df: DataFrame) -> list[float]:
-    """Boundaries for a uniform 64-bit hash; needs no look at the data."""
+    """Boundaries for `seeded_hash`, which is uniform; needs no look at the data."""
     parts = shuffle_parts(df.sparkSession)
-    return [-HASH_SPAN + 2 * HASH_SPAN * i / parts for i in range(1, parts)]
+    return [HASH_SPAN * i / parts for i in range(1, parts)]
+
+
+def hash_ranked(df: DataFrame, by: Sequence[str], id_col: str, seed: int) -> DataFrame:
+    """Add `n_before`: the row's place in a seeded random order within its group, and `n_total`.
+
+    The order is `seeded_hash` of the id and then the id, so it does not depend on partitioning or on the id's type.
+    """
+    keyed = df.withColumns({"_h": seeded_hash(id_col, seed), "n": F.lit(1)})
+    return running(keyed, "_h", ["n"], by=by, cuts=hash_cuts(df), then=[id_col]).drop("_h", "n")
 
 
 def with_range(df: DataFrame, order: str, cuts: Sequence[float], out: str) -> DataFrame:

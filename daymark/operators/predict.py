@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.functions import num, safe_div, to_binary
-from daymark.operators.cluster import hash_ranked, quotas
-from daymark.operators.ordering import quantile_values, quantiles, running
+from daymark.operators.cluster import quotas
+from daymark.operators.ordering import hash_cuts, hash_ranked, quantile_values, quantiles, running, seeded_hash
 from daymark.operators.segments import top_per_group
 from daymark.session import checkpoint_dir, settle
 
@@ -64,39 +65,21 @@ def derive_targets(
 
 
 def stratified_split(
-    df: DataFrame,
-    y: str | None,
-    share: float = 0.3,
-    seed: int = 42,
-    id_col: str = "user_id",
-    out: str = "is_test",
-    counts: Mapping | None = None,
+    df: DataFrame, y: str | None, share: float = 0.3, seed: int = 42, id_col: str = "user_id", out: str = "is_test"
 ) -> DataFrame:
-    """Add the test flag: an exact share of rows in seeded hash order, per class when both have two rows or more.
-
-    `counts` (rows per class) saves a pass when already known.
-    """
-    if counts is None:
-        counts = (
-            {None: df.count()}
-            if y is None
-            else {r[y]: r["c"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("c")).collect()}  # two classes
-        )
-    test = test_sizes(counts, share)
-    by = [y] if len(test) == 2 else []
-    quota = F.lit(test.get(None, 0))
-    if by:
-        for k, v in test.items():
-            quota = F.when(F.col(y) == k, F.lit(v)).otherwise(quota)
-    return hash_ranked(df, by, id_col, seed).withColumn(out, F.col("n_before") < quota).drop("n_before", "n_total")
-
-
-def test_sizes(counts: Mapping, share: float) -> dict:
-    """Test rows per class, or under the key None when classes are not kept apart."""
-    n = math.ceil(round(share * sum(counts.values()), 9))
-    if len(counts) == 2 and min(counts.values()) >= 2:
-        return quotas(counts, n)
-    return {None: n}
+    """Add the test flag: exactly ceil(share * rows) rows in seeded hash order, shared among the classes of `y`."""
+    by = [] if y is None else [y]
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("c"))
+    size = F.ceil(F.round(F.lit(float(share)) * F.sum("c").over(Window.partitionBy()), 9)).cast("long")
+    if y is None:
+        counts = counts.select(F.lit(0).alias("_all"), "c")
+        return hash_ranked(df.withColumn("_all", F.lit(0)), [], id_col, seed).join(
+            quotas(counts, size, least=0).select("_all", "quota"), "_all"
+        ).withColumn(out, F.col("n_before") < F.col("quota")).select(*df.columns, out)
+    ranked = hash_ranked(df, by, id_col, seed)
+    return ranked.join(quotas(counts, size, least=0).select(y, "quota"), y).withColumn(
+        out, F.col("n_before") < F.col("quota")
+    ).select(*df.columns, out)
 
 
 def threshold_metrics(df: DataFrame, y: str, score: str, t: float = 0.5) -> DataFrame:
@@ -172,6 +155,7 @@ def confusion(df: DataFrame, y: str, score: str, t: float = 0.5) -> DataFrame:
     return df.agg(F.array(*cells).alias("_rows")).select(F.inline("_rows"))
 
 
+TIE_SEED = 42
 LIFT_SHARES = (0.01, 0.03, 0.05, 0.10)  # fixed values: shares of the ranking that are reported
 
 
@@ -190,7 +174,7 @@ def _lift_cells(ks: Sequence[float]) -> list[Column]:
 
 
 def _lift_rows(df: DataFrame, y: str, score: str, id_col: str, ks: Sequence[float], head) -> list[dict]:
-    """Lift rows from the aggregated cells; groups of equal scores that a cut divides are ordered by id."""
+    """Lift rows from the aggregated cells; a group of equal scores that a cut divides is in order of hashed id."""
     total, positives = head["_n"] or 0, head["_p"] or 0
     groups = {k: head[f"_k{i}"] for i, k in enumerate(ks)} if total else {}
     inside = {k: g["p"] for k, g in groups.items()}
@@ -198,7 +182,8 @@ def _lift_rows(df: DataFrame, y: str, score: str, id_col: str, ks: Sequence[floa
     if split:
         value = F.col(score).cast("double") + F.lit(0.0)
         ties = df.where(value.isin(*{g["score"] for g in split.values()})).select(
-            F.col(id_col).cast("double").alias("_id"),
+            F.col(id_col).alias("_id"),
+            seeded_hash(id_col, TIE_SEED).alias("_h"),
             value.alias("_s"),
             (F.col(y) == 1).cast("long").alias("_y"),
             F.lit(1).alias("one"),
@@ -207,7 +192,8 @@ def _lift_rows(df: DataFrame, y: str, score: str, id_col: str, ks: Sequence[floa
             F.sum(F.when((F.col("_s") == g["score"]) & (F.col("one_before") < g["take"]), F.col("_y"))).alias(f"c{i}")
             for i, g in enumerate(split.values())
         ]
-        row = running(ties, "_id", ["one"], by=["_s"]).agg(*cells).first()
+        ordered = running(ties, "_h", ["one"], by=["_s"], cuts=hash_cuts(ties), then=["_id"])
+        row = ordered.agg(*cells).first()
         inside |= {k: row[f"c{i}"] or 0 for i, k in enumerate(split)}
     base = positives / total if total else 0.0
     rows = []
@@ -237,10 +223,11 @@ LIFT_SCHEMA = (
 def lift(
     df: DataFrame, y: str, score: str, ks: Sequence[float] = LIFT_SHARES, id_col: str = "user_id"
 ) -> DataFrame:
-    """Positive rate, lift and capture of the top share of the ranking; ties by least (numeric) id.
+    """Positive rate, lift and capture of the top share of the ranking.
 
-    Whole score groups are added up; only a group that a cut divides is ordered by id, range by range.  A
-    score shared by a third of the rows is thus counted, not sorted in one task.
+    Whole score groups are added up; only a group that a cut divides is ordered, by `seeded_hash` of the id and then by
+    the id in its own type, range by range.  A score shared by a third of the rows is thus counted, not sorted in
+    one task, and any kind of id will do.
     """
     head = score_table(df, y, score).agg(*_lift_cells(ks)).first()
     return df.sparkSession.createDataFrame(_lift_rows(df, y, score, id_col, ks, head), LIFT_SCHEMA)
@@ -336,7 +323,7 @@ class ModelResult:
 def _numeric(df: DataFrame, features: Sequence[str]) -> list[Column]:
     kinds = dict(df.dtypes)
     return [
-        (F.coalesce(F.col(c), F.lit(False)).cast("double") if kinds[c] == "boolean" else num(c)).alias(c)
+        (F.coalesce(F.col(c), F.lit(False)).cast("double") if kinds[c] == "boolean" else num(c, dtype=kinds[c])).alias(c)
         for c in features
     ]
 
@@ -357,6 +344,10 @@ def _stages(features: Sequence[str], scale: bool) -> list:
     ]
 
 
+def _unfitted(names: Sequence[str], info: Mapping, why: str) -> ModelResult:
+    return ModelResult([{**info, "model_type": name, "error": why} for name in names], [], [], [])
+
+
 def _run(models, train: DataFrame, test: DataFrame, info: Mapping, features, judge) -> ModelResult:
     out = ModelResult.empty()
     for name, pipe, score, boosted in models:
@@ -368,7 +359,10 @@ def _run(models, train: DataFrame, test: DataFrame, info: Mapping, features, jud
                 out = out + judge(scored, about)
             finally:
                 scored.unpersist()
-        except Exception as exc:  # one failed model must not lose the others
+        except (IllegalArgumentException, AnalysisException, ArithmeticException, Py4JJavaError) as exc:
+            # one model that cannot be fitted to its data must not lose the others; failed tasks and bugs go through
+            if isinstance(exc, Py4JJavaError) and "SingularMatrixException" not in str(exc.java_exception):
+                raise
             out.metrics.append({**about, "error": f"{type(exc).__name__}: {str(exc).splitlines()[0][:200]}"})
             continue
         if boosted:
@@ -390,29 +384,37 @@ def fit_binary(
     rounds: int = 250,
     seed: int = 42,
     share: float = 0.3,
-    min_rows: int = 100,
+    min_leaf: int = 100,
     baseline: bool = True,
 ) -> ModelResult:
     """Balanced logistic baseline and boosted trees on a stratified split, judged on the test part.
 
-    Fewer than `min_rows` rows or a single class give an empty result; a failing model gives an error row.
+    Every call gives a row per model; where there is nothing to fit (no such column, a single class, no rows to test) or
+    a model fails, the row says so in `error`.  `min_leaf` is the least number of training rows in a leaf.
     Boosted trees are Spark's (gain importances), so scores differ from other boosting libraries.
     """
+    names = [*["Baseline Logistic"][: int(baseline)], "Boosted"]
+    info = {
+        "task": "classification", "target_name": name, "target_col": y, "population": population_name,
+        "feature_set": feature_set, "feature_count": len(features),
+    }
     if y not in df.columns:
-        return ModelResult.empty()
+        return _unfitted(names, info, "no such column")
     checkpoint_dir(df.sparkSession)
     data = _prepared(df, binary(df, y), features, population, id_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size = data.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).first()
         n, p = size["n"], size["p"] or 0
-        if n < min_rows or p in (0, n):
-            return ModelResult.empty()
-        counts = {0: n - p, 1: p}
-        parts = stratified_split(data, "label", share, seed, id_col, counts=counts)
-        test_n = sum(test_sizes(counts, share).values())
-        train_n = n - test_n
-        pos = max(p - test_sizes(counts, share).get(1, 0), 1)
-        neg = max(train_n - pos, 1)
+        if p in (0, n):
+            return _unfitted(names, {**info, "row_count": n, "positive_count": int(p)}, "a single class" if n else "no rows")
+        parts = stratified_split(data, "label", share, seed, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+        cells = {(r["label"], r["is_test"]): r["c"] for r in parts.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("c")).collect()}
+        train_n, test_n = (sum(c for (_, t), c in cells.items() if t == part) for part in (False, True))
+        pos = cells.get((1, False), 0)
+        neg = train_n - pos
+        info |= {"train_row_count": train_n, "test_row_count": test_n}
+        if not (pos and neg and test_n):
+            return _unfitted(names, {**info, "row_count": n, "positive_count": int(p)}, "too few rows to split")
         w = lambda a, b: F.when(F.col("label") == 1, F.lit(a)).otherwise(F.lit(b))
         train = parts.where(~F.col("is_test")).withColumns(
             {"_balanced": w(train_n / (2.0 * pos), train_n / (2.0 * neg)), "_pos": w(neg / pos, 1.0)}
@@ -420,19 +422,13 @@ def fit_binary(
         test = parts.where("is_test")
         logit = LogisticRegression(maxIter=500, regParam=1.0 / train_n, weightCol="_balanced", standardization=False)
         trees = GBTClassifier(
-            maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=min(100, max(1, train_n // 10)),
+            maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=min_leaf,
             subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed, weightCol="_pos",
         )
         prob = lambda f: f.select(id_col, "label", vector_to_array("probability")[1].alias("score"))
         models = [("Boosted", Pipeline(stages=[*_stages(features, False), trees]), prob, True)]
         if baseline:
             models.insert(0, ("Baseline Logistic", Pipeline(stages=[*_stages(features, True), logit]), prob, False))
-        info = {
-            "task": "classification", "target_name": name, "target_col": y, "population": population_name,
-            "feature_set": feature_set, "feature_count": len(features),
-            "train_row_count": train_n, "test_row_count": test_n,
-        }
-
         def judge(scored: DataFrame, about: dict) -> ModelResult:
             row, top, cells = judge_classes(scored, "label", "score", id_col)
             tag = {k: about[k] for k in ("target_name", "population", "feature_set", "model_type")}
@@ -442,6 +438,7 @@ def fit_binary(
             return _run(models, train, test, info, features, judge)
         finally:
             train.unpersist()
+            parts.unpersist()
     finally:
         data.unpersist()
 
@@ -458,41 +455,41 @@ def fit_count(
     rounds: int = 250,
     seed: int = 42,
     share: float = 0.3,
-    min_rows: int = 100,
+    min_leaf: int = 100,
     baseline: bool = True,
 ) -> ModelResult:
     """Poisson baseline and boosted trees for a count; predictions are kept at 0 or above.
 
     Spark's trees have no Poisson loss, so the boosted model uses squared error.
     """
+    names = [*["Baseline Poisson"][: int(baseline)], "Boosted"]
+    info = {
+        "task": "regression", "target_name": name, "target_col": y, "population": population_name,
+        "feature_set": feature_set, "feature_count": len(features),
+    }
     if y not in df.columns:
-        return ModelResult.empty()
+        return _unfitted(names, info, "no such column")
     checkpoint_dir(df.sparkSession)
-    data = _prepared(df, F.greatest(num(y), F.lit(0.0)), features, population, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _prepared(df, F.greatest(num(y, dtype=dict(df.dtypes)[y]), F.lit(0.0)), features, population, id_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         size = data.agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
-        if size["n"] < min_rows or size["lo"] == size["hi"]:
-            return ModelResult.empty()
-        counts = {None: size["n"]}
-        parts = stratified_split(data, None, share, seed, id_col, counts=counts)
-        test_n = sum(test_sizes(counts, share).values())
-        train_n = size["n"] - test_n
+        if size["lo"] == size["hi"]:
+            return _unfitted(names, {**info, "row_count": size["n"]}, "a constant target" if size["n"] else "no rows")
+        parts = stratified_split(data, None, share, seed, id_col).persist(StorageLevel.MEMORY_AND_DISK)
+        train_n, test_n = parts.agg(F.count_if(~F.col("is_test")), F.count_if("is_test")).first()
+        info |= {"train_row_count": train_n, "test_row_count": test_n}
+        if not (train_n and test_n):
+            return _unfitted(names, {**info, "row_count": size["n"]}, "too few rows to split")
         train = parts.where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
         glm = GeneralizedLinearRegression(family="poisson", link="log", regParam=1e-4, maxIter=300)
         trees = GBTRegressor(
-            maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=min(100, max(1, train_n // 10)),
+            maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=min_leaf,
             subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed,
         )
         pred = lambda f: f.select(id_col, "label", F.greatest(F.col("prediction"), F.lit(0.0)).alias("pred"))
         models = [("Boosted", Pipeline(stages=[*_stages(features, False), trees]), pred, True)]
         if baseline:
             models.insert(0, ("Baseline Poisson", Pipeline(stages=[*_stages(features, True), glm]), pred, False))
-        info = {
-            "task": "regression", "target_name": name, "target_col": y, "population": population_name,
-            "feature_set": feature_set, "feature_count": len(features),
-            "train_row_count": train_n, "test_row_count": test_n,
-        }
-
         def judge(scored: DataFrame, about: dict) -> ModelResult:
             return ModelResult([{**regression_metrics(scored, "label", "pred").first().asDict(), **about}], [], [], [])
 
@@ -500,6 +497,7 @@ def fit_count(
             return _run(models, train, parts.where("is_test"), info, features, judge)
         finally:
             train.unpersist()
+            parts.unpersist()
     finally:
         data.unpersist()
 

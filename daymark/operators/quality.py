@@ -103,7 +103,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and p1 p5 p50 p95 p99 with missing and infinite values as 0."""
     kinds = dict(df.dtypes)
     clean = df.select(
-        *[(F.coalesce(F.col(c), F.lit(False)).cast("double") if kinds[c] == "boolean" else num(c)).alias(c) for c in cols]
+        *[(F.coalesce(F.col(c), F.lit(False)).cast("double") if kinds[c] == "boolean" else num(c, dtype=kinds[c])).alias(c) for c in cols]
     )
     basic = per_column(
         clean,
@@ -377,7 +377,8 @@ def spearman(df: DataFrame, features: Sequence[str], targets: Sequence[str]) ->
     values have a rank table small enough for Spark to broadcast at run time.
     """
     cols = list(dict.fromkeys([*features, *targets]))
-    clean = settle(df.select(*[(num(c) + F.lit(0.0)).alias(c) for c in cols]))  # read once per column below
+    kinds = dict(df.dtypes)
+    clean = settle(df.select(*[(num(c, dtype=kinds[c]) + F.lit(0.0)).alias(c) for c in cols]))  # read once per column below
     table = settle(average_ranks(clean, cols))
     ranked = clean
     for c in cols:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daymark.functions import MetricSpec, aggregate_column, safe_div
 from daymark.operators.ordering import quantiles
 from daymark.operators.tables import pivot_fill
+from daymark.session import settle
 
 
 def label_frame(spark: SparkSession, name: str, labels: Sequence[str]) -> DataFrame:
@@ -137,8 +138,10 @@ def compare_to_base(
 ) -> DataFrame:
     """Add `<metric>_vs_base` and a text of the differences; `metrics` maps column -> printf pattern.
 
-    The base group is one row of a summary, read on the driver.
+    The base group is one row of a summary, read on the driver; the summary is written first, so that what made it runs
+    once.
     """
+    df = settle(df)
     row = df.where(F.col(by) == base).select(*metrics).first()
     if row is None:
         return df.withColumns({**{f"{m}_vs_base": F.lit(None).cast("double") for m in metrics}, out: F.lit("")})

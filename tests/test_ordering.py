@@ -1,10 +1,11 @@
+import random
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from daymark.operators.cluster import hash_ranked, quota_sample, quotas
-from daymark.operators.ordering import average_ranks, quantiles, range_cuts, running
+from daymark.operators.cluster import quota_sample, quotas
+from daymark.operators.ordering import average_ranks, hash_ranked, quantiles, range_cuts, running
 
 pandas = pytest.importorskip("pandas")
 
@@ -66,17 +67,29 @@ def test_empty_frame(spark):
     assert quantiles(frame(spark, [None]), ["v"], {"q": 0.5}).count() == 0
 
 
-def test_quotas():
-    assert quotas({"a": 90, "b": 9, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1}
-    assert quotas({"a": 50, "b": 30, "c": 20}, 9) == {"a": 6, "b": 2, "c": 1}  # what rounding leaves goes to the largest
-    assert quotas({"a": 5, "b": 5}, 100) == {"a": 5, "b": 5}
-    assert quotas({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 1}  # everybody keeps one
+def test_quotas(spark):
+    def shared(counts, n, **options):
+        df = spark.createDataFrame(list(counts.items()), "label string, c long")
+        return {r["label"]: r["quota"] for r in quotas(df, n, **options).collect()}
+
+    assert shared({"a": 90, "b": 9, "c": 1}, 10) == {"a": 7, "b": 2, "c": 1}  # one each, then 7 among 89, 8 and 0
+    assert shared({"a": 50, "b": 30, "c": 20}, 9) == {"a": 4, "b": 3, "c": 2}
+    assert shared({"a": 5, "b": 5}, 100) == {"a": 5, "b": 5}
+    assert shared({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0}  # n below the number of labels
+    assert shared({"a": 50, "b": 1}, 16, least=0) == {"a": 16, "b": 0}
+    assert shared({}, 5) == {}
+    rng = random.Random(1)
+    for _ in range(5):
+        counts = {f"k{i}": rng.randrange(1, 60) for i in range(rng.randrange(1, 9))}
+        n = rng.randrange(sum(counts.values()) + 5)
+        got = shared(counts, n)
+        assert sum(got.values()) == min(n, sum(counts.values())) and all(0 <= got[k] <= c for k, c in counts.items())
 
 
 def test_quota_sample_is_exact_and_repeatable(spark):
     df = spark.range(1000).selectExpr("id as user_id", "if(id % 10 = 0, 'rare', 'usual') as label")
     a = quota_sample(df, "label", 50, seed=3)
-    assert {r["label"]: r["count"] for r in a.groupBy("label").count().collect()} == {"rare": 5, "usual": 45}
+    assert {r["label"]: r["count"] for r in a.groupBy("label").count().collect()} == {"rare": 6, "usual": 44}
     b = quota_sample(df.repartition(13), "label", 50, seed=3)
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
     c = quota_sample(df, "label", 50, seed=4)
