@@ -566,17 +566,22 @@ def _(s, d):
     return out.withColumn("mean", F.round("mean", 6))
 
 
+TARGET_NAMES = ("returned", "paid", "payment_count", "active_days", "bought_hearts")
+
+
 @add(
     "target_audit",
-    """
-    SELECT * FROM (VALUES ('returned', 'returned_d4_28', 'returned_d4_28', true), ('paid', 'paid_d4_28', 'paid_d4_28', true),
-      ('payment_count', 'payment_count_d4_28', 'payment_count_d4_28', true), ('active_days', 'active_days_d4_28', 'active_days_d4_28', true),
-      ('bought_hearts', 'bought_hearts_d4_28', 'bought_hearts_d4_28', true))
-      t(target_key, selected_column, available_candidates, preferred_window_available)
-    """,
+    "WITH d3 AS ("
+    + registry.sql["d3_mart"]
+    + ") "
+    + " UNION ALL ".join(
+        f"SELECT '{t}' AS target_key, '{t}_d4_28' AS selected_column, '{t}_d4_28' AS available_candidates, true AS preferred_window_available,"
+        f" count({t}_d4_28) AS value_count, count(*) FILTER ({t}_d4_28 > 0) AS positive_count FROM d3"
+        for t in TARGET_NAMES
+    ),
 )
 def _(s, d):
-    return ql.resolve_targets(event_d3_mart(s, d))[1]
+    return ql.resolve_targets(settle(event_d3_mart(s, d)))[1]
 
 
 @add(

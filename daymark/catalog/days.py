@@ -29,6 +29,7 @@ from daymark.operators import metrics as mt
 from daymark.operators import peers as pr
 from daymark.operators import windows as wn
 from daymark.operators.windows import pick
+from daymark.session import settle
 
 add = registry.add
 EVENT_CTES = ctes(EV, US, EO)
@@ -628,40 +629,16 @@ def _(s, d):
     return out.select("user_id", *[c for c in out.columns if "ratio" in c or "per_active" in c or "share_of" in c])
 
 
-def _peer_columns(s, d):
-    """Environment features: peers by signup day (class) and signup week (grade)."""
-    u = users(s, d).withColumn("week", F.date_trunc("week", "signup_date").cast("date"))
-    active = wn.window_metrics(of_type(s, d, "click"), u, pick("d0_3"), [MetricSpec("is_active", "flag")])
-    u = u.join(active.withColumnRenamed("is_active_d0_3", "is_active"), "user_id")
-    u = pr.group_sizes(u, {"signup_date": "class_users_d0_3", "week": "grade_users_d0_3"})
-    u = pr.active_peers(
-        u, {"signup_date": ("class", "class_users_d0_3"), "week": ("grade", "grade_users_d0_3")}, suffix="d0_3"
-    )
-    friends = wn.window_metrics(of_type(s, d, "signup"), users(s, d), pick("d0_3"), [MetricSpec("friends", "distinct", "item_id")])
-    return u.select(
-        "user_id",
-        "class_users_d0_3",
-        "grade_users_d0_3",
-        F.col("class_active_d0_3").alias("class_active_users_d0_3"),
-        F.col("grade_active_d0_3").alias("grade_active_users_d0_3"),
-    ).join(friends.withColumnRenamed("friends_d0_3", "friends_d3"), "user_id")
-
-
 def event_d3_mart(s, d):
-    ev = events(s, d)
-    sent = of_type(s, d, "click").withColumn("partner_id", F.col("item_id"))
-    return mt.d3_mart(
-        users(s, d),
-        _peer_columns(s, d),
-        attendance=of_type(s, d, "signup"),
-        payments=of_type(s, d, "purchase"),
-        activity=ev.where("event_type in ('click', 'view', 'error')"),
-        sent=sent,
-        received=of_type(s, d, "view"),
-        point_uses=of_type(s, d, "error"),
-        done="value > 10",
-        amount="value",
-    )
+    """The event table in all roles; peers share the signup day (class) or the signup week (grade)."""
+    u = settle(users(s, d).withColumn("week", F.date_trunc("week", "signup_date").cast("date")))
+    kind = "event_type = '{}'".format
+    roles = {
+        "sent": kind("click"), "received": kind("view"), "friend": kind("signup"), "point_use": kind("error"),
+        "attendance": kind("signup"), "payment": kind("purchase"), "activity": "event_type in ('click', 'view', 'error')",
+    }
+    facts = events(s, d).withColumn("partner_id", F.col("item_id"))
+    return mt.d3_mart(u, facts, roles, {"class": "signup_date", "grade": "week"}, done="value > 10", amount="value")
 
 
 @add(

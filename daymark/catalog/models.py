@@ -495,9 +495,30 @@ def _(s, d):
     return d3_models.extra_grid(settle(event_d3_mart(s, d)), rounds=1).metrics_frame(s)
 
 
-@add("best_models")
+@add(
+    "best_models",
+    """
+    WITH r AS (SELECT 'target ' || l_linenumber AS target_name, l_linestatus AS population, l_returnflag AS feature_set, CASE WHEN l_quantity > 25 THEN 'b' ELSE 'a' END AS model_type,
+        l_linenumber > 4 AS counted, CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS score FROM lineitem GROUP BY ALL),
+      m AS (SELECT target_name, population, feature_set, model_type, CASE WHEN counted THEN 'regression' ELSE 'classification' END AS task, score AS measure FROM r),
+      o AS (SELECT *, row_number() OVER (PARTITION BY target_name ORDER BY measure DESC, population, feature_set, model_type, task) AS rn FROM m)
+    SELECT target_name, population, measure, feature_set, model_type, task FROM o WHERE rn = 1
+    """,
+)
 def _(s, d):
-    m = _buyers_mart(s, d)
-    runs = pd.fit_binary(m, "paid", ["accepted"], name="paid", feature_set="few", rounds=3)
-    runs = runs + pd.fit_binary(m, "paid", ["accepted", "balance", "region"], name="paid", feature_set="more", rounds=3)
-    return pd.best_models(runs.metrics_frame(s))
+    """Runs stand for groups of order lines: some judged as counts (R2), the others as classes (ROC AUC)."""
+    lines = table(s, d, "lineitem")
+    model = F.when(F.col("l_quantity") > 25, "b").otherwise("a").alias("model_type")
+    runs = lines.groupBy(
+        F.concat(F.lit("target "), F.col("l_linenumber").cast("string")).alias("target_name"), F.col("l_linestatus").alias("population"), F.col("l_returnflag").alias("feature_set"), model
+    ).agg((F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("score"))
+    counted = F.col("target_name") > "target 4"
+    return pd.best_models(
+        runs.withColumns(
+            {
+                "roc_auc": F.when(~counted, F.col("score")),
+                "r2": F.when(counted, F.col("score")),
+                "task": F.when(counted, "regression").otherwise("classification"),
+            }
+        ).drop("score")
+    )

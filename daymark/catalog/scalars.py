@@ -77,10 +77,11 @@ def _(s, d):
     "check_sources",
     """
     SELECT 'orders' AS table_key, true AS present, 'o_orderkey, o_custkey' AS required_columns, '' AS missing_columns,
-      'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority' AS actual_columns, 'ok' AS status
+      'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority' AS actual_columns, 'ok' AS status,
+      (SELECT count(*) FROM orders) AS row_count, (SELECT count(*) FROM orders WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL) AS filled_row_count
     UNION ALL SELECT 'events', true, 'event_id, device_id', 'device_id',
-      'event_id, ts, user_id, event_type, value, props', 'error'
-    UNION ALL SELECT 'sessions', false, 'session_id', 'session_id', '', 'error'
+      'event_id, ts, user_id, event_type, value, props', 'error', (SELECT count(*) FROM events), (SELECT count(event_id) FROM events)
+    UNION ALL SELECT 'sessions', false, 'session_id', 'session_id', '', 'error', NULL, NULL
     """,
 )
 def _(s, d):

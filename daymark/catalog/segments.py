@@ -10,9 +10,10 @@ from daymark.catalog.days import win
 from daymark.catalog.fixtures import EO, EV, US, ctes, events, of_type, users
 from daymark.functions import MetricSpec, bucket_label
 from daymark.operators import segments as sg
-from daymark.operators.metrics import activity_days, leave_one_out, payment_metrics, responses_after, retention, user_mart
+from daymark.operators.metrics import leave_one_out, user_mart
 from daymark.operators.tables import bucketize
-from daymark.operators.windows import first_in_window, pick, window_metrics
+from daymark.operators.windows import after_anchor_parts, pick, window_metrics
+from daymark.session import settle
 
 add = registry.add
 INF = float("inf")
@@ -136,27 +137,28 @@ def _(s, d):
 
 
 def _outcome_mart(s, d):
-    """A mart with the column names of the standard outcome set."""
-    u, ev = users(s, d), events(s, d)
-    view = of_type(s, d, "view")
-    acts = activity_days(
-        *[of_type(s, d, k).select("user_id", F.col("day").alias("activity_date")) for k in ("click", "view", "error")]
-    )
-    sources = {
-        "attendance_after_received_vote": (ev, "day", True),
-        "point_use_after_received_vote": (of_type(s, d, "error"), "day", True),
-        "payment_after_received_vote": (of_type(s, d, "purchase"), "day", False),
+    """A mart with the column names of the standard outcome set, from three scans of the events."""
+    u, ev = settle(users(s, d)), events(s, d)
+    bought, acted = "event_type = 'purchase'", "event_type in ('click', 'view', 'error')"
+    M = [
+        MetricSpec("retention", "flag"),
+        MetricSpec("paid_flag", "flag", where=bought),
+        MetricSpec("payment_count", "rows", where=bought),
+        MetricSpec("payment_amount", "sum", "value", where=bought),
+        MetricSpec("active_days", "days", where=acted),
+        MetricSpec("sent_vote_count", "rows", where="event_type = 'click'"),
+        MetricSpec("received_vote_count", "rows", where="event_type = 'view'"),
+        MetricSpec("candidate_exposure_count", "rows", where="event_type = 'signup'"),
+        MetricSpec("first_received", "min", "day", where="event_type = 'view'"),
+    ]
+    counted = settle(window_metrics(ev, u, pick("d0_7", "d0_28", "d1_28", "d8_28"), M))
+    parts = {
+        "attendance_after_received_vote": (None, True),
+        "point_use_after_received_vote": ("event_type = 'error'", True),
+        "payment_after_received_vote": (bought, False),
     }
-    mart = user_mart(
-        u,
-        retention(ev, u, pick("d1_28", "d8_28")),
-        payment_metrics(of_type(s, d, "purchase"), u, pick("d0_28", "d8_28")),
-        window_metrics(acts, u, pick("d0_28", "d8_28"), [MetricSpec("active_days", "days")], date_col="activity_date"),
-        window_metrics(of_type(s, d, "click"), u, pick("d0_7"), [MetricSpec("sent_vote_count", "rows")]),
-        window_metrics(view, u, pick("d0_7"), [MetricSpec("received_vote_count", "rows")]),
-        window_metrics(of_type(s, d, "signup"), u, pick("d0_7"), [MetricSpec("candidate_exposure_count", "rows")]),
-        responses_after(first_in_window(view, u, "d0_7"), u, sources),
-    )
+    anchors = counted.select("user_id", F.col("first_received_d0_7").alias("first_date"))
+    mart = user_mart(u, counted.drop("first_received_d0_7"), after_anchor_parts(ev, anchors, u, "d0_28", parts))
     return bucketize(mart, "sent_vote_count_d0_7", EDGES, LABELS, "bucket")
 
 

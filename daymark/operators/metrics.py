@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.functions import MetricSpec, col_of, digits, money, safe_div
+from daymark.operators.peers import active_peers, group_sizes
 from daymark.operators.tables import fill_defaults, union_all
 from daymark.operators.windows import (
     WINDOWS,
@@ -15,11 +16,13 @@ from daymark.operators.windows import (
     after_anchor,
     as_role,
     assemble,
+    distinct_in_windows,
     lookup_or_self,
     pick,
     resolve_identity,
     window_metrics,
 )
+from daymark.session import settle
 from daymark.sources.io import AMOUNT_CANDIDATES, resolve_column
 
 
@@ -380,63 +383,80 @@ def behaviour_ratios(
 
 def d3_mart(
     users: DataFrame,
-    peers: DataFrame,
-    attendance: DataFrame,
-    payments: DataFrame,
-    activity: DataFrame,
-    sent: DataFrame,
-    received: DataFrame,
-    point_uses: DataFrame,
-    done: str | Column,
-    amount: str | Column,
+    facts: DataFrame,
+    roles: Mapping[str, str],
+    groups: Mapping[str, str],
+    done: str,
+    amount: str,
     W: Windows = WINDOWS,
 ) -> DataFrame:
     """Features of days 0-3 and targets of days 4-28, one row per user.
 
-    Inputs are keyed by user_id with a `day`; `sent` also has partner_id and item_id, `peers` has the five
-    environment features.  Column set inferred from a published schema; its builder was not available.
+    `facts` has user_id, day, partner_id and item_id; `roles` gives the SQL condition of a row that is a record of kind
+    sent, received, friend, point_use, attendance, payment or activity, so that one pass serves them all.  Facts kept in
+    several tables are unioned by the caller with a column that tells them apart.  `groups` maps class and grade to
+    columns of `users`; `done` and `amount` are SQL too.  Column set inferred from a published schema; its builder was
+    not available.
     """
     early, late = pick("d0_3", W=W), pick("d4_28", W=W)
-    snd = sender_metrics(
-        sent, users, early, done, {"distinct_chosen_users": "partner_id", "distinct_questions": "item_id"}, "sent_vote"
-    )
-    rec = window_metrics(
-        received,
-        users,
-        early,
-        [
-            MetricSpec("received_vote_yn", "flag"),
-            MetricSpec("received_vote_count", "rows"),
-            MetricSpec("received_vote_days", "days"),
-            MetricSpec("first_received_date", "min", "day"),
-        ],
-    ).withColumnRenamed("first_received_date_d0_3", "first_date")
-    uses = after_anchor(point_uses, rec, users, "d0_3", "point_use_after_received_vote_count", W=W)
+    sent, received = roles["sent"], roles["received"]
+    M = [
+        MetricSpec("sent_vote_count", "rows", where=sent),
+        MetricSpec("sent_vote_complete_count", "rows", where=f"({sent}) and ({done})"),
+        MetricSpec("sent_vote_active_days", "days", where=sent),
+        MetricSpec("received_vote_count", "rows", where=received),
+        MetricSpec("received_vote_days", "days", where=received),
+        MetricSpec("first_received_date", "min", "day", where=received),
+        MetricSpec("returned", "flag", where=roles["attendance"]),
+        MetricSpec("payment_count", "rows", where=roles["payment"]),
+        MetricSpec("bought_hearts", "sum", "_amount", where=roles["payment"]),
+        MetricSpec("active_days", "days", where=roles["activity"]),
+    ]
+    counted = settle(window_metrics(facts.withColumn("_amount", F.expr(amount)), users, {**early, **late}, M))
+
+    def of(role: str, column: str) -> Column:
+        return F.when(F.expr(roles[role]), F.col(column))
+
+    items = {
+        "sent_vote_distinct_chosen_users": of("sent", "partner_id"),
+        "sent_vote_distinct_questions": of("sent", "item_id"),
+        "friends": of("friend", "item_id"),
+    }
+    different = distinct_in_windows(facts.withColumns(items), users, {n: n for n in items}, early, "user_id", "day")
+    anchors = counted.select("user_id", F.col("first_received_date_d0_3").alias("first_date"))
+    uses = after_anchor(facts.where(roles["point_use"]), anchors, users, "d0_3", "point_use_after_received_vote_count", W=W)
     uses = uses.withColumnsRenamed(
         {"point_use_after_received_vote_count_yn_d0_3": "point_use_after_received_vote_yn_d0_3"}
     )
-    rec = (
-        rec.join(users.select("user_id", "signup_date"), "user_id")
-        .withColumn("first_received_vote_day_d0_3", F.datediff("first_date", "signup_date"))
-        .drop("first_date", "signup_date")
+    first = F.datediff("first_received_date_d0_3", "signup_date")
+    around = counted.join(users, "user_id").select(
+        *users.columns, (F.col("sent_vote_count_d0_3") > 0).alias("is_active"), first.alias("first_received_vote_day_d0_3")
     )
-    back = window_metrics(attendance, users, late, [MetricSpec("returned", "flag")])
-    paid = window_metrics(
-        payments.withColumn("_amount", col_of(amount)),
-        users,
-        late,
-        [
-            MetricSpec("paid", "flag"),
-            MetricSpec("payment_count", "rows"),
-            MetricSpec("bought_hearts", "sum", "_amount"),
-        ],
+    totals = {key: f"{name}_users_d0_3" for name, key in groups.items()}
+    around = active_peers(group_sizes(around, totals), {key: (name, totals[key]) for name, key in groups.items()}, suffix="d0_3")
+    peers = around.select(
+        "user_id",
+        "first_received_vote_day_d0_3",
+        *totals.values(),
+        *[F.col(f"{name}_active_d0_3").alias(f"{name}_active_users_d0_3") for name in groups],
     )
-    active = window_metrics(activity, users, late, [MetricSpec("active_days", "days")])
-    mart = user_mart(users.select("user_id"), peers, rec, uses, snd, back, paid, active)
-    flags = [
+    own = counted.select(
+        "user_id",
+        (F.col("received_vote_count_d0_3") > 0).alias("received_vote_yn_d0_3"),
+        "received_vote_count_d0_3",
+        "received_vote_days_d0_3",
+        (F.col("sent_vote_count_d0_3") > 0).alias("sent_vote_experience_d0_3"),
+        "sent_vote_count_d0_3",
+        "sent_vote_complete_count_d0_3",
+        "sent_vote_active_days_d0_3",
+        safe_div("sent_vote_complete_count_d0_3", "sent_vote_count_d0_3").alias("sent_vote_complete_rate_d0_3"),
         "returned_d4_28",
-        "paid_d4_28",
-        "received_vote_yn_d0_3",
-        "point_use_after_received_vote_yn_d0_3",
-    ]
+        (F.col("payment_count_d4_28") > 0).alias("paid_d4_28"),
+        "payment_count_d4_28",
+        "bought_hearts_d4_28",
+        "active_days_d4_28",
+    )
+    different = different.withColumnRenamed("friends_d0_3", "friends_d3")
+    mart = user_mart(users.select("user_id"), peers, own, uses, different)
+    flags = ["returned_d4_28", "paid_d4_28", "received_vote_yn_d0_3", "point_use_after_received_vote_yn_d0_3"]
     return mart.withColumns({c: F.col(c).cast("int") for c in flags})

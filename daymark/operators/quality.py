@@ -488,13 +488,23 @@ TARGET_CANDIDATES = {
 def resolve_targets(
     df: DataFrame, candidates: Mapping[str, Sequence[str]] = TARGET_CANDIDATES
 ) -> tuple[dict[str, str], DataFrame, str]:
-    """Chosen column per target, an audit table, and the window all chosen columns agree on."""
+    """Chosen column per target, an audit table, and the window all chosen columns agree on.
+
+    The audit also counts the values of the chosen column that are there and above 0 (the frame is read when it is used).
+    """
     found = {t: [c for c in cs if c in df.columns] for t, cs in candidates.items()}
     chosen = {t: cs[0] for t, cs in found.items() if cs}
     audit = df.sparkSession.createDataFrame(
         [(t, chosen.get(t), ", ".join(cs), any(c.endswith("d4_28") for c in cs)) for t, cs in found.items()],
         "target_key string, selected_column string, available_candidates string, preferred_window_available boolean",
     )
+    if chosen:
+        counts = per_column(
+            _as_double(df, list(chosen.values())),
+            list(chosen.values()),
+            {"value_count": F.count, "positive_count": lambda c: F.count_if(F.coalesce(F.col(c), F.lit(0.0)) > 0)},
+        )
+        audit = audit.join(counts.withColumnRenamed("column", "selected_column"), "selected_column", "left")
     ends = {w for w in ("d4_28", "d4_7") if chosen and all(w in c for c in chosen.values())}
     return chosen, audit, ends.pop().upper().replace("_", "-D") if ends else "mixed"
 

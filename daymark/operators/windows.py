@@ -187,14 +187,34 @@ def after_anchor(
     date_col: str = "day",
     anchor_col: str = "first_date",
 ) -> DataFrame:
-    """Rows (or different days) on or after the user's anchor day and inside the window, per anchored user.
+    """Rows (or different days) on or after the user's anchor day and inside the window, per anchored user."""
+    parts = {name: (None, days)}
+    return after_anchor_parts(df, anchors, users, window, parts, W, user_col, date_col, anchor_col)
 
-    The events are counted per user and day first, so the join on user compares days, not events.
+
+def after_anchor_parts(
+    df: DataFrame,
+    anchors: DataFrame,
+    users: DataFrame,
+    window: str,
+    parts: Mapping[str, tuple[str | None, bool]],
+    W: Windows = WINDOWS,
+    user_col: str = "user_id",
+    date_col: str = "day",
+    anchor_col: str = "first_date",
+) -> DataFrame:
+    """`after_anchor` for several kinds of rows of one table in one pass.
+
+    `parts` maps an output name to (SQL condition or None, count days instead of rows).  The events are counted per user
+    and day first, so the join on user compares days, not events.
     """
+    counts = [
+        (F.count(F.lit(1)) if rule is None else F.count_if(F.expr(rule))).alias(f"_n_{name}") for name, (rule, _) in parts.items()
+    ]
     daily = (
         df.where(F.col(user_col).isNotNull() & F.col(date_col).isNotNull())
         .groupBy(F.col(user_col).alias("user_id"), F.col(date_col).alias("day"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(*counts)
     )
     base = (
         anchors.where(F.col(anchor_col).isNotNull())
@@ -202,13 +222,18 @@ def after_anchor(
         .join(users.select("user_id", "signup_date"), "user_id", "left")
     )
     hit = F.coalesce(F.col("day") >= F.col("_anchor"), F.lit(False)) & in_window("day_offset", window, W)
-    amount = F.count_if(hit) if days else F.coalesce(F.sum(F.when(hit, F.col("_n"))), F.lit(0))
+    amounts = [
+        (F.count_if(hit & (F.col(f"_n_{name}") > 0)) if days else F.coalesce(F.sum(F.when(hit, F.col(f"_n_{name}"))), F.lit(0))).alias(
+            f"{name}_{window}"
+        )
+        for name, (_, days) in parts.items()
+    ]
     return (
         base.join(daily, "user_id", "left")
         .withColumn("day_offset", F.datediff("day", "signup_date"))
         .groupBy("user_id")
-        .agg(amount.alias(f"{name}_{window}"))
-        .withColumn(f"{name}_yn_{window}", F.col(f"{name}_{window}") > 0)
+        .agg(*amounts)
+        .withColumns({f"{name}_yn_{window}": F.col(f"{name}_{window}") > 0 for name in parts})
     )
 
 

@@ -73,7 +73,7 @@ def group_table(mart: DataFrame) -> DataFrame:
     return sg.compare_to_base(sg.conditional_means(out, group_triples()), "sender_group", GROUPS[1], DIFFERENCES)
 
 
-def run(mart: DataFrame, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] = (42, 43, 44)) -> dict[str, DataFrame]:
+def run(mart: DataFrame, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] = cl.SEEDS) -> dict[str, DataFrame]:
     """Bounds, extremes, group table with sensitivity, intensity table and sender clusters."""
     mart = settle(mart)
     kept, audit, removed = ql.apply_bounds(mart, bound_rules())
