@@ -248,7 +248,8 @@ OUT_COLS = ["order_count", "spend", "accepted"]
         f"""SELECT '{c}' AS "column", count({c}) AS non_null_count, count(*) FILTER ({c} = 0) AS zero_count, round(avg({c}), 6) AS mean,
         max({c}) AS max, count(*) FILTER ({c} > (SELECT quantile_cont({c}, 0.99) FROM m)) AS above_p99_count,
         {e} AS expected_max, count(*) FILTER ({c} > {e}) AS above_expected_max_count,
-        (SELECT min(user_id) FROM m WHERE {c} = (SELECT max({c}) FROM m)) AS max_id, """
+        (SELECT min(user_id) FROM m WHERE {c} = (SELECT max({c}) FROM m)) AS max_id,
+        (SELECT min_by(segment, user_id) FROM m WHERE {c} = (SELECT max({c}) FROM m)) AS max_group, """
         + ", ".join(f"quantile_cont({c}, {p / 100}) AS p{p}" for p in (50, 75, 90, 95, 99))
         + f""", max({c}) / quantile_cont({c}, 0.99) AS max_to_p99_ratio,
         count(*) FILTER ({c} > (SELECT quantile_cont({c}, 0.99) FROM m)) * 100.0 / count(*) AS above_p99_rate_pct FROM m"""
@@ -256,7 +257,7 @@ OUT_COLS = ["order_count", "spend", "accepted"]
     ),
 )
 def _(s, d):
-    out = ql.outlier_profile(settled_mart(s, d), OUT_COLS, expected_max={"order_count": 20, "accepted": 30})
+    out = ql.outlier_profile(settled_mart(s, d), OUT_COLS, expected_max={"order_count": 20, "accepted": 30}, group_col="segment")
     return out.withColumn("mean", F.round("mean", 6))
 
 
@@ -305,14 +306,14 @@ def _(s, d):
 
 # spend with one inflated row per table: the largest spender counts twentyfold
 EXTREME = MART_SQL + """
-    , x AS (SELECT user_id, CASE WHEN spend = (SELECT max(spend) FROM m) THEN spend * 20 ELSE spend END AS spend, order_count FROM m),
+    , x AS (SELECT user_id, CASE WHEN spend = (SELECT max(spend) FROM m) THEN spend * 20 ELSE spend END AS spend, order_count, segment FROM m),
     q AS (SELECT quantile_cont(spend, 0.99) AS p99, max(spend) / quantile_cont(spend, 0.99) AS ratio,
       (SELECT count(*) FROM x WHERE spend > (SELECT quantile_cont(spend, 0.99) FROM x)) AS above FROM x)
     """
 
 
 def _inflated(s, d):
-    m = settled_mart(s, d).select("user_id", "spend", "order_count")
+    m = settled_mart(s, d).select("user_id", "spend", "order_count", "segment")
     top = m.agg(F.max("spend").alias("t"))
     return m.withColumn("spend", F.when(F.col("spend") == top.scalar(), F.col("spend") * 20).otherwise(F.col("spend")))
 
@@ -330,11 +331,11 @@ def _(s, d):
 @add(
     "isolated_extremes",
     EXTREME
-    + """SELECT user_id, 'spend' AS "column", spend AS value, p99, ratio AS max_to_p99_ratio FROM x, q
+    + """SELECT user_id, 'spend' AS "column", spend AS value, p99, ratio AS max_to_p99_ratio, segment FROM x, q
     WHERE spend > p99 AND ratio >= 10 AND above BETWEEN 1 AND 500""",
 )
 def _(s, d):
-    return ql.isolated_extremes(_inflated(s, d), ["spend", "order_count"], at_most=500)[1]
+    return ql.isolated_extremes(_inflated(s, d), ["spend", "order_count"], at_most=500, group_col="segment")[1]
 
 
 @add(

@@ -154,14 +154,22 @@ def duplicate_audit(df: DataFrame, keys: Sequence[str], table: str = "table") ->
 
 
 def outlier_profile(
-    df: DataFrame, cols: Sequence[str], id_col: str = "user_id", expected_max: Mapping[str, float] | None = None
+    df: DataFrame,
+    cols: Sequence[str],
+    id_col: str = "user_id",
+    expected_max: Mapping[str, float] | None = None,
+    group_col: str | None = None,
 ) -> DataFrame:
     """Quantiles, maximum over p99, rows above p99 and above an expected maximum, and who holds the maximum.
 
-    Two passes: one for the quantiles, one that compares with p99 as a constant.
+    With `group_col` also the group of that holder (`max_group`).  Two passes: one for the quantiles, one that compares with p99 as a constant.
     """
     expected_max = expected_max or {}
-    clean = _as_double(df, cols, [id_col])
+    clean = df.select(
+        F.col(id_col).alias("_id"),
+        (F.lit(None) if group_col is None else F.col(group_col)).cast("string").alias("_group"),
+        *[F.col(c).cast("double").alias(c) for c in cols],
+    )
     probs = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     spread = quantiles(clean, cols, probs).collect()  # one row per column
     p99 = {r["column"]: r["p99"] for r in spread}
@@ -170,6 +178,9 @@ def outlier_profile(
         "column string, " + ", ".join(f"{p} double" for p in probs),
     )
 
+    def holder(c: str) -> Column:
+        return F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("v"), F.col("_id").alias("id"), "_group")))
+
     def above(c: str, bound: float | None) -> Column:
         return F.lit(0).cast("long") if bound is None else F.count_if(F.col(c) > F.lit(float(bound)))
 
@@ -186,7 +197,8 @@ def outlier_profile(
             "expected_max": lambda c: F.lit(expected_max.get(c)).cast("double"),
             "above_expected_max_count": lambda c: above(c, expected_max.get(c)),
             # the least id among the holders of the maximum
-            "max_id": lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("v"), F.col(id_col).alias("id"))))["id"],
+            "max_id": lambda c: holder(c)["id"],
+            **({} if group_col is None else {"max_group": lambda c: holder(c)["_group"]}),
         },
     )
     joined = stats.join(F.broadcast(quant), "column", "left")  # at most one row per column
@@ -240,13 +252,18 @@ def apply_bounds(
 
 
 def isolated_extremes(
-    df: DataFrame, cols: Sequence[str], id_col: str = "user_id", ratio: float = 10, at_most: int = 5
+    df: DataFrame,
+    cols: Sequence[str],
+    id_col: str = "user_id",
+    ratio: float = 10,
+    at_most: int = 5,
+    group_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Columns whose maximum is far above p99 because of a handful of rows, and those rows.
+    """Columns whose maximum is far above p99 because of a handful of rows, and those rows (with their group).
 
     A column is flagged only when 1 to `at_most` rows lie above p99, so candidates are few by definition.
     """
-    audit = outlier_profile(df, cols, id_col).withColumn(
+    audit = outlier_profile(df, cols, id_col, group_col=group_col).withColumn(
         "is_isolated",
         F.coalesce(
             (F.col("max_to_p99_ratio") >= ratio) & F.col("above_p99_count").between(1, at_most), F.lit(False)
@@ -260,6 +277,7 @@ def isolated_extremes(
             F.col(r["column"]).cast("double").alias("value"),
             F.lit(r["p99"]).alias("p99"),
             F.lit(r["max_to_p99_ratio"]).alias("max_to_p99_ratio"),
+            *([] if group_col is None else [F.col(group_col)]),
         )
         for r in flagged
     ]
@@ -267,6 +285,8 @@ def isolated_extremes(
         return audit, union_all(*parts)
     kind = dict(df.dtypes)[id_col]
     empty = f"{id_col} {kind}, column string, value double, p99 double, max_to_p99_ratio double"
+    if group_col is not None:
+        empty += f", {group_col} {dict(df.dtypes)[group_col]}"
     return audit, df.sparkSession.createDataFrame([], empty)
 
 

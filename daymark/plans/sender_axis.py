@@ -79,7 +79,7 @@ def run(mart: DataFrame, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] =
     kept, audit, removed = ql.apply_bounds(mart, bound_rules())
     home = kept.where("home_entry_population")
     here = [c for c in EXTREME_COLUMNS if c in home.columns]
-    extremes, candidates = ql.isolated_extremes(home, here)
+    extremes, candidates = ql.isolated_extremes(home, here, group_col="sender_group")
     reduced = exclude_ids(kept, candidates, "user_id")
     measures = [m for m in group_metrics() if m.name.endswith(("_rate", "_mean")) or m.name == "user_count"]
     col, edges, labels = BUCKETS["sender_intensity_bucket_d0_7"]
