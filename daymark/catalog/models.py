@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from daymark.catalog import registry
 from daymark.catalog.audits import MART_SQL, customer_mart, settled_mart
-from daymark.catalog.days import event_d3_mart
 from daymark.catalog.fixtures import table
 from daymark.operators import cluster as cl
 from daymark.operators import predict as pd
@@ -485,14 +484,96 @@ def _(s, d):
     return out if out is not None else s.createDataFrame([], "feature string, importance double")
 
 
-@add("model_grid")
+# customers as users of days 0-3 and 4-28: every target takes several values at every scale
+GRID_COLUMNS = {
+    "friends_d3": "line_count % 7", "class_users_d0_3": "line_count % 11 + 5", "grade_users_d0_3": "line_count % 13 + 20",
+    "class_active_users_d0_3": "n_regionkey", "grade_active_users_d0_3": "n_regionkey + order_days % 3",
+    "received_vote_yn_d0_3": "CASE WHEN accepted > 3 THEN 1 ELSE 0 END", "received_vote_count_d0_3": "accepted",
+    "received_vote_days_d0_3": "accepted % 4", "first_received_vote_day_d0_3": "line_count % 4",
+    "point_use_after_received_vote_yn_d0_3": "CASE WHEN order_days % 2 = 0 THEN 1 ELSE 0 END",
+    "point_use_after_received_vote_count_d0_3": "order_days % 2", "sent_vote_experience_d0_3": "line_count > 30",
+    "sent_vote_count_d0_3": "line_count", "sent_vote_complete_count_d0_3": "accepted % 5", "sent_vote_active_days_d0_3": "line_count % 4",
+    "sent_vote_distinct_chosen_users_d0_3": "line_count % 9", "sent_vote_distinct_questions_d0_3": "line_count % 8",
+    "sent_vote_complete_rate_d0_3": "(line_count % 10) / 10.0", "returned_d4_28": "CASE WHEN user_id % 5 < 2 THEN 1 ELSE 0 END",
+    "paid_d4_28": "CASE WHEN user_id % 4 < 3 THEN 1 ELSE 0 END",
+    "payment_count_d4_28": "CASE WHEN user_id % 4 < 3 THEN user_id % 3 + 1 ELSE 0 END", "active_days_d4_28": "user_id % 7",
+    "bought_hearts_d4_28": "CASE WHEN user_id % 4 < 3 THEN (user_id % 11 + 1) * 10 ELSE 0 END",
+}
+
+
+def _grid_mart(s, d):
+    whole = settled_mart(s, d)
+    return settle(whole.select("user_id", *[F.expr(sql).alias(name) for name, sql in GRID_COLUMNS.items()]))
+
+
+# (target, column, counts only) of both grids, and the expected rows of each
+GRID_BASE = MART_SQL + ", g AS (SELECT user_id, " + ", ".join(f"{sql} AS {name}" for name, sql in GRID_COLUMNS.items()) + """ FROM m),
+    h AS (SELECT *, CASE WHEN received_vote_yn_d0_3 = 1 OR sent_vote_experience_d0_3 THEN 1 ELSE 0 END AS relation, CASE WHEN active_days_d4_28 = 0 THEN 1 ELSE 0 END AS churn,
+      CASE WHEN active_days_d4_28 >= 3 THEN 1 ELSE 0 END AS high_active, CASE WHEN payment_count_d4_28 >= 2 THEN 1 ELSE 0 END AS repeat_paid,
+      CASE WHEN bought_hearts_d4_28 >= (SELECT quantile_cont(bought_hearts_d4_28, 0.75) FROM g WHERE bought_hearts_d4_28 > 0 AND paid_d4_28 = 1) THEN 1 ELSE 0 END AS high_value FROM g)"""
+# a class gets its share of ceil(0.3 n) test rows by largest remainder, ties to class 0
+GRID_ROWS = """
+    SELECT target_name, r.population, feature_set, model_type, task, n - test AS train_row_count, test AS test_row_count, test AS row_count,
+      CASE WHEN task = 'classification' THEN ones END AS positive_count, true AS fitted, true AS in_range FROM r JOIN c USING (target_name, population)"""
+
+
+def _grid_counts(targets):
+    """SQL of rows, test rows and positive test rows per (target, population); `targets` lists (name, column, rule, population)."""
+    parts = " UNION ALL ".join(
+        f"SELECT '{name}' AS target_name, '{pop}' AS population, count(*) AS n, count(*) FILTER ({col} > 0) AS p FROM h WHERE {rule}" for name, col, rule, pop in targets
+    )
+    return f""", k AS ({parts}), t AS (SELECT *, CAST(ceil(round(0.3 * n, 9)) AS BIGINT) AS test FROM k),
+    c AS (SELECT *, p * test // n + CASE WHEN p * test % n > (n - p) * test % n THEN 1 ELSE 0 END AS ones FROM t)"""
+
+
+def _grid_report(result, spark):
+    """What a grid must hold: its runs, their sizes and classes, that all were fitted, and that measures are in range."""
+    m = result.metrics_frame(spark)
+    unit = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    good = unit("roc_auc") & unit("pr_auc") & unit("accuracy") & (F.coalesce("mae", F.lit(0.0)) >= 0) & (F.coalesce("r2", F.lit(0.0)) <= 1)
+    return m.select(
+        "target_name", "population", "feature_set", "model_type", "task", "train_row_count", "test_row_count", "row_count",
+        F.when(F.col("task") == "classification", F.col("positive_count")).alias("positive_count"),
+        F.col("error").isNull().alias("fitted"), good.alias("in_range"),
+    )
+
+
+BASIC = [("returned", "returned_d4_28"), ("paid", "paid_d4_28"), ("payment_count", "payment_count_d4_28"), ("active_days", "active_days_d4_28"), ("bought_hearts", "bought_hearts_d4_28")]
+POPULATIONS = [("true", "all"), ("relation = 1", "relation")]
+
+
+@add(
+    "model_grid",
+    GRID_BASE
+    + _grid_counts([(n, c, rule, pop) for n, c in BASIC for rule, pop in POPULATIONS])
+    + """, r AS (SELECT t.target_name, p.population, f.feature_set, m.model_type, t.task FROM (VALUES ('returned', 'classification'), ('paid', 'classification'),
+      ('payment_count', 'regression'), ('active_days', 'regression'), ('bought_hearts', 'regression')) t(target_name, task), (VALUES ('all'), ('relation')) p(population),
+      (VALUES ('env'), ('env+receive+send')) f(feature_set), (VALUES ('classification', 'Baseline Logistic'), ('classification', 'Boosted'), ('regression', 'Baseline Poisson'), ('regression', 'Boosted')) m(task, model_type)
+      WHERE m.task = t.task)"""
+    + GRID_ROWS,
+)
 def _(s, d):
-    return d3_models.basic_grid(settle(event_d3_mart(s, d)), rounds=2).metrics_frame(s)
+    """All 40 runs; 3 boosting rounds here (the default is 250), as only sizes, classes and ranges are compared."""
+    return _grid_report(d3_models.basic_grid(_grid_mart(s, d), rounds=3), s)
+
 
+EXTRA = [("relation_experience", "relation", "true", "all"), ("churn", "churn", "relation = 1", "relation"), ("high_active", "high_active", "relation = 1", "relation"),
+         ("paid", "paid_d4_28", "true", "all"), ("repeat_paid", "repeat_paid", "paid_d4_28 = 1", "payers"), ("high_value_paid", "high_value", "paid_d4_28 = 1", "payers")]
 
-@add("extra_model_grid")
+
+@add(
+    "extra_model_grid",
+    GRID_BASE
+    + _grid_counts(EXTRA)
+    + """, f AS (SELECT * FROM (VALUES ('relation_experience', 'all', ['env']), ('churn', 'relation', ['env', 'all']), ('high_active', 'relation', ['env', 'all']),
+        ('paid', 'all', ['A1_env', 'A2_env_send', 'A3_env_receive', 'A4_all']), ('repeat_paid', 'payers', ['B1_env', 'B2_env_send', 'B3_env_receive', 'B4_all']),
+        ('high_value_paid', 'payers', ['B1_env', 'B2_env_send', 'B3_env_receive', 'B4_all'])) t(target_name, population, sets)),
+      r AS (SELECT target_name, population, unnest(sets) AS feature_set, model_type, 'classification' AS task FROM f, (VALUES ('Baseline Logistic'), ('Boosted')) m(model_type))"""
+    + GRID_ROWS,
+)
 def _(s, d):
-    return d3_models.extra_grid(settle(event_d3_mart(s, d)), rounds=1).metrics_frame(s)
+    """All 34 runs; boosting rounds as in `model_grid`."""
+    return _grid_report(d3_models.extra_grid(_grid_mart(s, d), rounds=3), s)
 
 
 @add(

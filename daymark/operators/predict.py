@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -512,20 +513,31 @@ def model_grid(
     targets: Mapping[str, str],
     counts: Sequence[str] = COUNT_TARGETS,
     late: str = "d4_",
+    workers: int = 4,
     **options,
 ) -> ModelResult:
-    """Every target in every population with every feature set; a feature from the target period is refused."""
+    """Every target in every population with every feature set; a feature from the target period is refused.
+
+    The fits do not depend on each other: `workers` of them are submitted side by side, so that the small stages of one
+    fill the gaps of another.
+    """
     leaks = sorted({c for cols in feature_sets.values() for c in cols if late in c})
     if leaks:
         raise ValueError(f"features from the target period: {leaks}")
     df = settle(df)  # every fit reads it again
-    out = ModelResult.empty()
-    for pop, rule in populations.items():
-        for fs, cols in feature_sets.items():
-            for name, col in targets.items():
-                fit = fit_count if name in counts else fit_binary
-                out = out + fit(df, col, cols, rule, name, pop, fs, **options)
-    return out
+    jobs = [
+        (fit_count if name in counts else fit_binary, col, cols, rule, name, pop, fs)
+        for pop, rule in populations.items()
+        for fs, cols in feature_sets.items()
+        for name, col in targets.items()
+    ]
+
+    def run(job) -> ModelResult:
+        fit, *rest = job
+        return fit(df, *rest, **options)
+
+    with ThreadPoolExecutor(workers) as pool:
+        return sum(pool.map(inheritable_thread_target(run), jobs), ModelResult.empty())
 
 
 def best_models(metrics: DataFrame) -> DataFrame:
