@@ -20,7 +20,7 @@ HEADLINE = [
     "intensity_outcomes", "window_counts", "window_distinct", "sender_metrics", "receiver_metrics", "edge_degrees",
     "longest_streak", "active_day_counts", "exposure_metrics", "responses_after", "user_mart", "d3_mart",
     "active_peers", "daily_edges", "duplicate_audit", "quantiles", "outlier_profile", "segment_clusters", "lift",
-    "roc_auc", "dedup",
+    "roc_auc", "dedup", "spearman", "three_axis_mart", "outcome_summary",
 ]
 
 
