@@ -132,4 +132,5 @@ def mix(
             F.xxhash64(F.col(f"row.{text_col}")).alias("text_hash"),
         ).dropDuplicates(keys)
     chosen = settle(drawn.where("copies > 0").select(*keys, F.col("copies").cast("int").alias("copies")))
-    return packed.join(chosen, keys).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
+    # `chosen` grows with the documents: joined by sorting at every size, so that small inputs show the plan of large ones
+    return packed.join(chosen.hint("merge"), keys).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")

@@ -169,9 +169,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = settle(groups.groupBy("root_fp").agg(F.min(row).alias("first")).select("first.id", "first.fp"))
     unclear = groups.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL")
     if unclear.isEmpty():
-        return docs.join(firsts.select(F.col("id").alias("_first_id")), docs[id_col] == F.col("_first_id"), "left_semi")
+        kept = firsts.select(F.col("id").alias("_first_id")).hint("merge")  # grows with the documents: never broadcast
+        return docs.join(kept, docs[id_col] == F.col("_first_id"), "left_semi")
     keyed = docs.withColumns({"_first_id": F.col(id_col), "_fp": fingerprint(F.col(text_col), width)})
     firsts = firsts.toDF("_kept_id", "_kept_fp")
     same = F.col("_first_id").eqNullSafe(F.col("_kept_id")) & (F.col("_fp") == F.col("_kept_fp"))
-    kept = keyed.join(firsts, same, "left_semi")
+    kept = keyed.join(firsts.hint("merge"), same, "left_semi")
     return kept.dropDuplicates(["_first_id", "_fp"]).drop("_first_id", "_fp")
