@@ -23,7 +23,69 @@ def _simhash(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@registry.add("op2_quality_rules")
+def _limits_sql(name: str, by: list[str]) -> str:
+    """Thresholds of one level of merged sketches, from the bucket counts in `k`."""
+    keys = "".join(f"{b}, " for b in by)
+    part = "PARTITION BY " + keys + "rate"
+
+    def at(percent: int) -> str:
+        return f"min(low) FILTER (100 * upto >= {percent} * total)"
+
+    return f"""{name}_c AS (SELECT {keys}rate, code, any_value(low) AS low, sum(n) AS n FROM k GROUP BY {keys}rate, code),
+{name}_p AS (SELECT *, sum(n) OVER ({part} ORDER BY code) AS upto, sum(n) OVER ({part}) AS total FROM {name}_c),
+{name}_q AS (SELECT {keys}rate, max(total) AS rows, {at(25)} AS q25, {at(50)} AS q50, {at(75)} AS q75 FROM {name}_p GROUP BY {keys}rate),
+{name} AS (SELECT {keys}rate, rows, q50 + {quality.REACH} * greatest(q75 - q50, least_spread) AS high,
+  CASE WHEN two_sided THEN q50 - {quality.REACH} * greatest(q50 - q25, least_spread) END AS low FROM {name}_q JOIN rates USING (rate))"""
+
+
+_SHIFT, _BACK = "greatest(0, length(bin(value)) - 6)", "greatest(0, code // 32 - 1)"
+_RATE_SQL = {name: sql.replace(" div ", " // ") for name, (sql, _, _) in quality.RATES.items()}
+QUALITY_SQL = (
+    r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '-') AS lang_key, coalesce('=' || source, '-') AS source_key,
+         coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+i AS (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM t WHERE len(words) >= 5),
+s AS (SELECT r, i, array_to_string(words[i:i + 4], ' ') AS win FROM i),
+x AS (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS seen FROM s),
+m AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM x, range(5) g(o) WHERE seen > 1 GROUP BY r),
+c AS (
+  SELECT doc_id, lang_key, source_key, CAST(len(words) AS BIGINT) AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         CAST(len(lines) AS BIGINT) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper
+  FROM t LEFT JOIN m USING (r)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, """
+    + ", ".join(f"{sql} AS {name}" for name, sql in _RATE_SQL.items())
+    + """ FROM c),
+rates AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{name}', {spread}, {two})" for name, (_, spread, two) in quality.RATES.items())
+    + f""") v(rate, least_spread, two_sided)),
+u AS (UNPIVOT (SELECT lang_key, source_key, {", ".join(quality.RATES)} FROM b WHERE NOT base_failed)
+      ON {", ".join(quality.RATES)} INTO NAME rate VALUE value),
+n AS (SELECT lang_key, source_key, rate, 32 * {_SHIFT} + (value >> {_SHIFT}) AS code, count(*) AS n FROM u GROUP BY ALL),
+k AS (SELECT *, (code - 32 * {_BACK}) << {_BACK} AS low FROM n),
+"""
+    + ",\n".join(_limits_sql(n, by) for n, by in (("own", ["lang_key", "source_key"]), ("lang", ["lang_key"]), ("corpus", [])))
+    + f""",
+l AS (
+  SELECT own.lang_key, own.source_key, rate, CASE WHEN own.rows >= {quality.MIN_ROWS} THEN own.high WHEN lang.rows >= {quality.MIN_ROWS} THEN lang.high ELSE corpus.high END AS high,
+         CASE WHEN own.rows >= {quality.MIN_ROWS} THEN own.low WHEN lang.rows >= {quality.MIN_ROWS} THEN lang.low ELSE corpus.low END AS low
+  FROM own JOIN lang USING (lang_key, rate) JOIN corpus USING (rate)),
+g AS (SELECT lang_key, source_key, """
+    + ", ".join(f"max(high) FILTER (rate = '{n}') AS {n}_high, max(low) FILTER (rate = '{n}') AS {n}_low" for n in quality.RATES)
+    + """ FROM l GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  coalesce(NOT base_failed AND """
+    + " AND ".join(f"{n} <= {n}_high" + (f" AND {n} >= {n}_low" if two else "") for n, (_, _, two) in quality.RATES.items())
+    + """, false) AS kept
+FROM b LEFT JOIN g USING (lang_key, source_key)"""
+)
+
+
+@registry.add("op2_quality_rules", QUALITY_SQL)
 def _quality(spark: SparkSession, d: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality.judge(table(spark, d, "documents")).select(columns)
@@ -68,7 +130,49 @@ def _shards(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@registry.add("op7_quote_linking")
+QUOTE_SQL = r"""
+WITH RECURSIVE msg AS (
+  SELECT row_number() OVER () AS id, *, coalesce('=' || conv_id, '-') AS conv, string_split(text, chr(10)) AS lines FROM conversations),
+ln AS (SELECT id, conv, turn, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM msg WHERE text IS NOT NULL),
+lv AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t>]*>'), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(lower(regexp_replace(line, '^[ \t>]*>', '')), '[\x09-\x0D ]+', ' ', 'g')) AS body
+  FROM ln),
+st AS (SELECT *, coalesce(lag(CASE WHEN body <> '' THEN level END) OVER (PARTITION BY id ORDER BY pos) = level, false) AS goes_on FROM lv),
+pt AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY pos) AS part FROM st),
+psg AS (
+  SELECT id, conv, turn, level, body FROM pt WHERE body <> '' AND turn IS NOT NULL
+  UNION ALL SELECT id, any_value(conv), any_value(turn), level, string_agg(body, ' ' ORDER BY pos) FROM pt
+  WHERE body <> '' AND turn IS NOT NULL GROUP BY id, level, part HAVING count(*) > 1),
+org AS (SELECT conv, body, min(turn) AS origin FROM psg WHERE level = 0 GROUP BY conv, body),
+vote AS (
+  SELECT id, psg.conv, turn, level, origin, sum(length(body)) AS weight, count(*) AS n
+  FROM psg JOIN org USING (conv, body) WHERE level > 0 AND origin < turn GROUP BY ALL),
+rep AS (
+  SELECT id, conv, turn, origin AS reply_to, CAST(all_n AS BIGINT) AS n_linked
+  FROM (SELECT *, sum(n) OVER (PARTITION BY id) AS all_n, row_number() OVER (PARTITION BY id ORDER BY level, weight DESC, origin DESC) AS rn FROM vote)
+  WHERE rn = 1),
+one AS (SELECT conv, turn, min(reply_to) AS parent FROM rep GROUP BY conv, turn),
+up AS (
+  SELECT conv, turn, parent AS root, 1 AS depth FROM one
+  UNION ALL SELECT up.conv, up.turn, one.parent, depth + 1 FROM up JOIN one ON up.conv = one.conv AND up.root = one.turn),
+top AS (SELECT conv, turn, max(depth) AS depth, arg_max(root, depth) AS root FROM up GROUP BY conv, turn),
+quoted AS (SELECT id, count(*) FILTER (level > 0) AS n_quoted_lines FROM lv GROUP BY id),
+own AS (
+  SELECT id, array_to_string(list_filter(lines, lambda x, i: NOT regexp_matches(x, '^[ \t>]*>')
+         AND NOT (regexp_matches(x, '(?i)^\s*on\b.*\bwrote:\s*$') AND coalesce(regexp_matches(lines[i + 1], '^[ \t>]*>'), false))), chr(10)) AS kept
+  FROM msg),
+res AS (
+  SELECT msg.conv_id, msg.turn, msg.role, msg.conv, CASE WHEN coalesce(n_quoted_lines, 0) = 0 THEN msg.text ELSE trim(kept) END AS text,
+         coalesce(n_quoted_lines, 0) AS n_quoted_lines, coalesce(n_linked, 0) AS n_linked, reply_to,
+         CASE WHEN reply_to IS NULL THEN msg.turn ELSE top.root END AS root_turn, CASE WHEN reply_to IS NULL THEN 0 ELSE top.depth END AS depth
+  FROM msg LEFT JOIN quoted USING (id) LEFT JOIN own USING (id) LEFT JOIN rep USING (id)
+       LEFT JOIN top ON top.conv = msg.conv AND top.turn = msg.turn)
+SELECT conv_id, turn, role, text, n_quoted_lines, n_linked, reply_to, root_turn, depth,
+  dense_rank() OVER (PARTITION BY conv ORDER BY root_turn NULLS FIRST, turn NULLS FIRST) - 1 AS position FROM res"""
+
+
+@registry.add("op7_quote_linking", QUOTE_SQL)
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
     return quotes.thread(table(spark, d, "conversations"))
 

@@ -85,6 +85,19 @@ def test_talk(spark):
     assert read(got)[1, 3][:3] == (2, 0, 2)
 
 
+def test_sql_agrees_on_quotes(spark, tmp_path):
+    import duckdb
+    from check_oracle import compare
+
+    from daymark.llm.catalog import QUOTE_SQL
+
+    df = spark.createDataFrame(TALK + [(3, 0, "user", None), (3, None, "user", "> x\ny")], "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "talk"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/talk/*.parquet')")
+    assert compare(quotes.thread(df), con, QUOTE_SQL) == ""
+
+
 def test_long_chain_and_one_large_conversation(spark):
     rows = [(7, i, "user", f"> line {i - 1} of the talk\nline {i} of the talk" if i else "line 0 of the talk") for i in range(150)]
     rows += [(7, 1000 + i, "user", "> ok\n> line 3 of the talk\nok") for i in range(400)]
