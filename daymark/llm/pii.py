@@ -179,10 +179,13 @@ def scan(text: Column) -> Column:
 
 
 def reliabilities(counts: dict[str, float], rounds: int = 50) -> tuple[dict[str, float], float, np.ndarray]:
-    """EM over vote patterns of one kind: probability per pattern, the prior, and per labeler P(vote | class).
+    """EM over vote patterns of one kind: probability per pattern, the prior of wide candidates, and per labeler
+    P(vote | class).
 
-    Votes are taken as independent given the class.  Pseudo-counts state that labelers are more often right than wrong,
-    which settles which class is which and holds small corpora.
+    Votes are taken as independent given the class.  Candidates of the strict pattern and wide ones have priors of their
+    own, so that many plain finds do not vouch for doubtful ones; the strict vote itself is then no further evidence.
+    Pseudo-counts state that labelers are more often right than wrong, which settles which class is which and holds small
+    corpora.
     """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
@@ -190,17 +193,19 @@ def reliabilities(counts: dict[str, float], rounds: int = 50) -> tuple[dict[str,
     prior_counts = np.array([[4.0, 2.0, 1.0], [1.0, 2.0, 4.0]]) * 2  # class yes, no; votes +, 0, -
     q = 1 / (1 + np.exp(-((code == 0).sum(1) - (code == 2).sum(1) - 0.5)))
     table = np.zeros((len(LABELERS), 2, 3))
-    prior = 0.5
+    strict = code[:, 0] == 0
+    prior = np.array([0.5, 0.5])  # wide, strict
     for _ in range(rounds):
         weights = np.stack([n * q, n * (1 - q)])
-        prior = (weights[0].sum() + 1) / (n.sum() + 2)
+        prior = np.array([(weights[0][part].sum() + 1) / (n[part].sum() + 2) for part in (~strict, strict)])
         for j in range(len(LABELERS)):
             for c in range(2):
                 seen = np.bincount(code[:, j], weights[c], 3) + prior_counts[c]
                 table[j, c] = seen / seen.sum()
-        log = np.log([prior, 1 - prior])[:, None] + sum(np.log(table[j][:, code[:, j]]) for j in range(len(LABELERS)))
+        own = prior[strict.astype(int)]
+        log = np.log([own, 1 - own]) + sum(np.log(table[j][:, code[:, j]]) for j in range(1, len(LABELERS)))
         q = 1 / (1 + np.exp(np.clip(log[1] - log[0], -60, 60)))
-    return dict(zip(patterns, q.tolist(), strict=True)), float(prior), table
+    return dict(zip(patterns, q.tolist(), strict=True)), float(prior[0]), table
 
 
 def fit(found: DataFrame) -> DataFrame:
