@@ -13,21 +13,22 @@ holds part of a character decodes to its bytes and only whole texts are read as
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 ROWS = 32  # texts encoded at once
 DIGEST = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>"
 TOKENS = "struct<ids: array<int>, starts: array<int>, ends: array<int>>"
 
 
-@functools.cache
 def byte_characters() -> dict[int, str]:
     """The printable character that stands for each byte: itself where printable, else the next one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -74,13 +75,9 @@ def model_json(ranks: dict[bytes, int], pattern: str) -> str:
     })
 
 
-@functools.lru_cache(maxsize=2)
-def _parsed(text: str):
-    import os
-
+def parse(text: str) -> tuple[Tokenizer, list[bytes]]:
+    """The model and the bytes of every id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-    from tokenizers import Tokenizer
-
     tokenizer = Tokenizer.from_str(text)
     back = {c: b for b, c in byte_characters().items()}
     table = [b""] * (1 + max(tokenizer.get_vocab().values(), default=-1))
@@ -89,6 +86,13 @@ def _parsed(text: str):
     return tokenizer, table
 
 
+def _parsed(model: Broadcast) -> tuple[Tokenizer, list[bytes]]:
+    """The broadcast model, parsed once per Python worker: a worker keeps its broadcasts from task to task."""
+    if not hasattr(model, "parsed"):
+        model.parsed = parse(model.value)
+    return model.parsed
+
+
 class Codec:
     """A rank file ready for use in a session's tasks."""
 
@@ -101,7 +105,7 @@ class Codec:
 
         @F.arrow_udf(TOKENS)
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            tokenizer, table = _parsed(model.value)
+            tokenizer, table = _parsed(model)
             lengths = [len(t) for t in table]
             for texts in batches:
                 ids, starts, ends = [], [], []
@@ -126,7 +130,7 @@ class Codec:
 
         @F.arrow_udf("binary")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            _, table = _parsed(model.value)
+            _, table = _parsed(model)
             for lists in batches:
                 yield pa.array(
                     [b"".join(table[i] for i in row or () if i is not None) for row in lists.to_pylist()], pa.binary()
@@ -140,7 +144,7 @@ class Codec:
 
         @F.arrow_udf(DIGEST)
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            tokenizer, table = _parsed(model.value)
+            tokenizer, table = _parsed(model)
             numbers = [str(i) for i in range(len(table))]
             for texts in batches:
                 rows = [

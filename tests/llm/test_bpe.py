@@ -37,7 +37,7 @@ def test_given_documents(spark, sf_dir, own):
 
 
 def test_any_characters(own):
-    tokenizer, _ = bpe._parsed(bpe.model_json(bpe.read_ranks(PATH), PATTERN))
+    tokenizer, _ = bpe.parse(bpe.model_json(bpe.read_ranks(PATH), PATTERN))
     rng = random.Random(1)
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(chr(c) for c in points[i : i + 64]) for i in range(0, 0x30000, 64)]
