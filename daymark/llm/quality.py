@@ -36,7 +36,7 @@ MIN_WORDS, MAX_REPEATED = 10, 20
 RATES = {
     "symbol_rate": ("10000 * n_symbols div nullif(n_words, 0)", 200, False),  # per 10,000 words
     "dup_rate": ("10000 * n_dup_lines div nullif(n_lines, 0)", 1500, False),  # per 10,000 lines with a word
-    "repeat_rate": ("10000 * n_repeat_words div nullif(n_words, 0)", 300, False),  # per 10,000 words
+    "repeat_rate": ("10000 * n_repeat_words div nullif(n_words, 0)", 350, False),  # per 10,000 words
     "upper_rate": ("10000 * n_upper div nullif(word_chars, 0)", 400, False),  # per 10,000 characters
     "word_length": ("100 * word_chars div nullif(n_words, 0)", 40, True),  # hundredths of a character
 }
