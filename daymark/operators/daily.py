@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from daymark.functions import MetricSpec, aggregate_column, col_of
 from daymark.operators.ordering import quantiles
-from daymark.operators.tables import melt, pivot_fill, union_all
+from daymark.operators.tables import melt, union_all
 
 
 def daily(df: DataFrame, day_col: str, by: Sequence[str], M: Sequence[MetricSpec]) -> DataFrame:
@@ -109,17 +109,20 @@ def daily_edges(
 def daily_events(
     df: DataFrame, keys: Sequence[str], day_col: str = "day", key_col: str = "event_key", session_col: str = "session_id"
 ) -> DataFrame:
-    """All events, each selected key as a column, and active sessions per day."""
-    base = daily(
-        df,
-        day_col,
-        [],
-        [MetricSpec("total_events", "rows"), MetricSpec("active_sessions", "distinct", session_col)],
+    """All events, each selected key as a column, and active sessions per day.
+
+    One pass: events collapse to one row per day and session, so sessions need no distinct count.
+    """
+    per_session = (
+        df.where(F.col(day_col).isNotNull())
+        .groupBy(day_col, session_col)
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(key_col) == k).alias(f"_key_{i}") for i, k in enumerate(keys)])
     )
-    wide = pivot_fill(
-        df.where(F.col(key_col).isin(*keys) & F.col(day_col).isNotNull()), [day_col], key_col, F.count(F.lit(1)), keys
+    return per_session.groupBy(day_col).agg(
+        F.sum("_n").alias("total_events"),
+        F.count(session_col).alias("active_sessions"),
+        *[F.sum(f"_key_{i}").alias(k) for i, k in enumerate(keys)],
     )
-    return base.join(wide, day_col, "left").fillna(0, subset=list(keys))
 
 
 def session_days(
