@@ -1,0 +1,71 @@
+import random
+
+import corpus_pipeline
+from daymark.llm import simhash
+
+
+def brute(texts):
+    """Id of the least member of each text's group, by comparing all pairs of five-word shingle sets."""
+    sets = {i: set(simhash._hashes((t or "").encode(), 5)) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(sets)
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            if sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {find(i) for i in sets}
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_stage_links_all_pairs_at_four_fifths(spark):
+    rng = random.Random(3)
+    texts = {}
+    for g in range(40):  # 1 to 8 single edits of 200 words: similarities on both sides of 0.8
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        for edits in (0, 1, 2, 3, 4, 5, 8):
+            texts[len(texts)] = edited(rng, words, edits)
+    chain = [f"c{i}" for i in range(200)]
+    for step in range(12):  # neighbours are similar, ends are not
+        texts[len(texts)] = " ".join(chain)
+        for at in rng.sample(range(200), 3):
+            chain[at] = f"d{step}-{at}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(texts)
+    assert len(set(got)) < simhash.keep_first(docs).count()
+
+
+def test_stage_on_given_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()} == brute(texts)
+
+
+def test_odd_rows(odd_docs, no_docs):
+    kept = simhash.keep_dissimilar(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None) == [1, 2, 4, 7, 7, 8]
+    assert sum(r["doc_id"] is None for r in kept.select("doc_id").collect()) == 1
+    assert simhash.keep_dissimilar(no_docs).count() == 0
+
+
+def test_template_texts_link_only_where_similar(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = {i: edited(rng, base, rng.choice((1, 3, 5, 7))) for i in range(150)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    groups = simhash.similar_groups(docs).collect()
+    assert len({r["root_fp"] for r in groups}) == len(brute(texts)) > 10
