@@ -42,7 +42,10 @@ def _unquoted(lines: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv_key, turn, text_hash, level, hash, weight): the lines and paragraphs of every message of the table."""
+    """(conv_key, turn, text_hash, level, hash, weight): the lines and paragraphs of every message of the table.
+
+    Messages must not repeat.
+    """
     lines = messages.select(*MESSAGE, F.posexplode("lines").alias("pos", "line")).select(
         *MESSAGE, "pos", level(F.col("line")).alias("level"), _body(F.col("line")).alias("body")
     )
@@ -63,7 +66,9 @@ def passages(messages: DataFrame) -> DataFrame:
 def _replies(messages: DataFrame) -> DataFrame:
     """(conv_key, turn, text_hash, reply_to, n_linked) of messages with a linked quote."""
     quoting = settle(messages.where("n_quoted_lines > 0").select("conv_key").distinct())
-    found = settle(passages(messages.join(quoting, "conv_key", "left_semi").where("turn IS NOT NULL")))
+    # a message counts once, however often its row is repeated
+    once = messages.join(quoting, "conv_key", "left_semi").where("turn IS NOT NULL").select(*MESSAGE, "lines").distinct()
+    found = settle(passages(once))
     origins = settle(found.where("level = 0").groupBy("conv_key", "hash").agg(F.min("turn").alias("origin")))
     linked = found.where("level > 0").join(origins, ["conv_key", "hash"]).where("origin < turn")
     by_origin = linked.groupBy(*MESSAGE, "level", "origin").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))

@@ -132,3 +132,19 @@ def test_odd_rows(spark):
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string")
     assert not re.search("Python|Pandas|Arrow", quotes.thread(df)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_repeated_rows_link_as_one(spark, tmp_path):
+    import duckdb
+    from check_oracle import compare
+
+    from daymark.llm.catalog import QUOTE_SQL
+
+    rows = [TALK[0]] * 3 + [TALK[2]] * 4 + [TALK[3], TALK[4], TALK[1]] + [TALK[5]] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "talk"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/talk/*.parquet')")
+    got = quotes.thread(df)
+    assert [r["n_linked"] for r in got.where("turn = 2").collect()] == [3] * 4  # two lines and their paragraph
+    assert compare(got, con, QUOTE_SQL) == ""
