@@ -3,8 +3,11 @@
 The standard library's parser streams events; block boundaries end a line, and every line gets its text, its number of
 tags and the section it stands in.  The ratio of text to tags per line is smoothed with a Gaussian, and lines are
 clustered into content and the rest by the threshold that splits the smoothed ratios best (least squares within
-both clusters).  The article or main section that holds most content text is the region; without one, it reaches from
-the first to the last content line.  Short lines in the region (headings, one-word paragraphs) belong to it.
+both clusters).  Every article or main section that holds a content line is kept whole and in page order, and so are the
+headings and paragraphs of a main section around such an article.  Where no section holds content,
+or most of it stands outside them, the region reaches
+from the first to the last content line of the page, and on over the headings and paragraphs next to it.  Short lines in
+a region (headings, one-word paragraphs) belong to it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and comments are known by element, role, class or id; their
 lines keep their tags but lose their text, so they pull the ratios around them down and never enter the result.  Scripts,
@@ -30,6 +33,7 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 OPAQUE = set("script style noscript template head title iframe object svg canvas select textarea button".split())
+TEXTUAL = set("h1 h2 h3 h4 h5 h6 p".split())
 CHROME = set("nav aside footer form menu dialog".split())
 CHROME_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 CHROME_NAMES = set(
@@ -45,15 +49,16 @@ SIGMA = 1.0
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, section) per line; text of left-out parts is dropped, their tags still count."""
+    """Collects (text, tags, section, block) per line; text of left-out parts is dropped, their tags still count."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # element, its text is left out, number of its article or main
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, str]] = []
         self.text: list[str] = []
         self.tags = 0
         self.sections: list[str] = [""]
+        self.inside: list[int] = [0]  # number of the section around each
 
     def state(self) -> tuple[bool, int]:
         return self.open[-1][1:] if self.open else (False, 0)
@@ -61,7 +66,8 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.state()[1]))
+            block = next((name for name, _, _ in reversed(self.open) if name in BLOCKS), "")
+            self.lines.append((text, self.tags, self.state()[1], block))
         self.text, self.tags = [], 0
 
     def close_to(self, at: int) -> None:
@@ -102,6 +108,7 @@ class _Lines(HTMLParser):
         out = out or self.left_out(tag, dict(attrs), section)
         if not out and (tag == "main" or tag == "article" and self.sections[section] != "article"):
             self.sections.append(tag)
+            self.inside.append(section)
             section = len(self.sections) - 1
         self.open.append((tag, out, section))
 
@@ -165,20 +172,31 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    filled = [i for i, (text, _, _) in enumerate(lines) if text]
+    filled = [i for i, line in enumerate(lines) if line[0]]
     if not filled:
         return ""
-    content = content_lines(smooth(np.array([len(text) / max(1, tags) for text, tags, _ in lines]), sigma))
-    held: dict[int, int] = {}
-    for i in filled:
-        if section := lines[i][2]:
-            held[section] = held.get(section, 0) + len(lines[i][0]) * int(content[i])
-    if held:
-        region = max(held, key=lambda s: (held[s], -s))
-        chosen = [i for i in filled if lines[i][2] == region]
+    content = content_lines(smooth(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]), sigma))
+    holding = {lines[i][2] for i in filled if content[i]} - {0}
+    beside = sum(len(lines[i][0]) for i in filled if content[i] and not lines[i][2])
+    if 2 * beside > sum(len(lines[i][0]) for i in filled if content[i]):  # most content stands in no section
+        holding = set()
+    elif not holding:  # nothing stands out: sections with text, or all
+        holding = {lines[i][2] for i in filled} - {0}
+    if holding:
+        around = set()  # main sections with content in a section inside them
+        for section in holding:
+            while section := parser.inside[section]:
+                around.add(section)
+        around = {section for section in around if parser.sections[section] == "main"}
+        chosen = [i for i in filled if lines[i][2] in holding or lines[i][2] in around and lines[i][3] in TEXTUAL]
     else:
         picked = [i for i in filled if content[i]] or filled
-        chosen = [i for i in filled if picked[0] <= i <= picked[-1]]
+        first, last = filled.index(picked[0]), filled.index(picked[-1])
+        while first > 0 and lines[filled[first - 1]][3] in TEXTUAL:
+            first -= 1
+        while last + 1 < len(filled) and lines[filled[last + 1]][3] in TEXTUAL:
+            last += 1
+        chosen = filled[first : last + 1]
     return "\n".join(lines[i][0] for i in chosen)
 
 

@@ -83,3 +83,36 @@ def test_long_page_and_odd_rows(spark):
     assert sorted((r["n_chars"], r["page_id"] or 0) for r in got)[:3] == [(0, 0), (0, 1), (0, 1)]
     assert max(r["n_chars"] for r in got) == 20000 * 40 - 1 + 20000 * 0 or max(r["n_chars"] for r in got) > 700000
     assert article.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def long_text(i):
+    return f"Sentence number {i} of a text that runs on for a good while, as main texts do."
+
+
+def test_all_content_sections_are_kept():
+    one, two = (f"<article><h2>Head {k}</h2><p>{long_text(k)}</p><p>{long_text(k + 1)}</p></article>" for k in (1, 3))
+    links = "".join(f"<div><a href=/{i}>go {i}</a> <a href=/x{i}>to</a></div>" for i in range(6))
+    teaser = "<article><div><a href=/t>more</a> <a href=/u>here</a></div></article>"
+    lines = article.main_text(f"<body>{links}{one}{links}{two}{links}{teaser}</body>").split("\n")
+    assert lines == ["Head 1", long_text(1), long_text(2), "Head 3", long_text(3), long_text(4)]
+
+
+def test_main_text_beside_an_article():
+    links = "".join(f"<div><a href=/{i}>go {i}</a> <a href=/x{i}>to</a></div>" for i in range(6))
+    page = f"<body>{links}<main><h1>Title</h1><p>{long_text(1)}</p><article><p>{long_text(2)}</p><p>{long_text(3)}</p></article><p>The end.</p></main>{links}</body>"
+    assert article.main_text(page).split("\n") == ["Title", long_text(1), long_text(2), long_text(3), "The end."]
+    page = f"<body>{links}<main><h1>Title</h1><article><p>{long_text(2)}</p><p>{long_text(3)}</p></article></main>{links}</body>"
+    assert article.main_text(page).split("\n") == ["Title", long_text(2), long_text(3)]
+
+
+def test_headings_next_to_the_region_without_sections():
+    links = "".join(f"<div><a href=/{i}>go {i}</a> <a href=/x{i}>to</a></div>" for i in range(6))
+    text = "".join(f"<p>{long_text(i)}</p>" for i in range(4))
+    lines = article.main_text(f"<body>{links}<h1>Title</h1><h2>Sub</h2>{text}<p>The end.</p><p>Bye.</p>{links}</body>").split("\n")
+    assert [x for x in lines if not x.startswith("go")] == ["Title", "Sub", *(long_text(i) for i in range(4)), "The end.", "Bye."]
+
+
+def test_a_small_section_does_not_hide_the_text():
+    text = "".join(f"<div>{long_text(i)}</div>" for i in range(5))
+    lines = article.main_text(f"<body>{text}<article><p>{long_text(9)}</p></article></body>").split("\n")
+    assert lines == [long_text(i) for i in (0, 1, 2, 3, 4, 9)]
