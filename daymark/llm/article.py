@@ -135,17 +135,6 @@ class _Lines(HTMLParser):
             self.text.append(data)
 
 
-def _whole(html: str) -> str:
-    """The page without a tag or comment that is cut off at its end."""
-    comment = html.rfind("<!--")
-    if comment >= 0 and html.find("-->", comment) < 0:
-        html = html[:comment]
-    tag = html.rfind("<")
-    if tag >= 0 and html.find(">", tag) < 0 and re.match(r"<[a-zA-Z/!?]|<$", html[tag : tag + 2]):
-        html = html[:tag]
-    return html
-
-
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = int(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
@@ -168,7 +157,10 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The main text of one page, its blocks joined by newlines."""
     parser = _Lines()
-    parser.feed(_whole(html or ""))
+    parser.feed(html or "")
+    # what the parser still holds is unfinished; a tag or comment cut off at the end is not text
+    if not parser.cdata_elem and re.match(r"<[a-zA-Z/!?]|<$", parser.rawdata):
+        parser.rawdata = ""
     parser.close()
     parser.flush()
     lines = parser.lines

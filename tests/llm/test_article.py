@@ -116,3 +116,11 @@ def test_a_small_section_does_not_hide_the_text():
     text = "".join(f"<div>{long_text(i)}</div>" for i in range(5))
     lines = article.main_text(f"<body>{text}<article><p>{long_text(9)}</p></article></body>").split("\n")
     assert lines == [long_text(i) for i in (0, 1, 2, 3, 4, 9)]
+
+
+def test_comment_marks_outside_comments():
+    body = f"<article><p>{long_text(1)}</p><p>{long_text(2)}</p></article>"
+    want = f"{long_text(1)}\n{long_text(2)}"
+    for before in ('<script>document.write("<!-- ad");</script>', "<style>/* <!-- */</style>", '<div title="<!-- x"></div>'):
+        assert article.main_text(f"<html><body>{before}{body}</body></html>") == want
+    assert article.main_text(f"<body>{body}<!-- cut off <p>here") == want
