@@ -14,11 +14,6 @@ member names itself and its neighbours at one flipped free bit, and members that
 least of them.  At most 65 fingerprints can name one value, so this is linear in the members and no group is large.
 
 Everything works on different fingerprints; rows that share one are counted once, however many they are.
-
-`keep_dissimilar` decides by similarity instead: texts link when the sets of their word shingles have a Jaccard similarity
-of at least 0.8.  Such texts differ in up to 18 of 64 fingerprint bits, beyond what masks over 64 bits can cover, so its
-tables are made of min-wise hashes of the set: texts meet when the four values of one of 24 bands agree, which a pair at
-0.8 misses with probability 3e-6 and a more similar pair less often.  Every candidate is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -32,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daymark.llm.graph import components
+from daymark.llm.text import unused
 from daymark.session import settle
 
 BITS, LABELS, SEED = 64, 7, 42
-BANDS, ROWS = 24, 4  # tables of min-wise hashes and values per table
 CHUNK = 1 << 16  # shingles whose bits are spread out at once, which bounds memory for texts of any length
 
 
@@ -168,156 +163,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each group of linked texts, with the columns of `docs`: the row of least id, then least fingerprint.
 
     NULL ids come after all others.  Where ids are unique the rows are found by id alone; else the fingerprint is part
-    of the key, and one of the rows that share both is kept.
+    of the key, and one of the rows that share both is kept.  Extra columns, whatever their names, stay as they are.
     """
     groups = settle(near_duplicates(docs, id_col, text_col, width).withColumnRenamed(id_col, "id"))
-    return _least_rows(docs, groups, id_col, fingerprint(F.col(text_col), width))
-
-
-def _least_rows(docs: DataFrame, groups: DataFrame, id_col: str, print_: Column) -> DataFrame:
-    """The rows of `docs` that are first in the groups (id, fp, root_fp); `print_` gives the fp of a row."""
     row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "fp")
     firsts = settle(groups.groupBy("root_fp").agg(F.min(row).alias("first")).select("first.id", "first.fp"))
     unclear = groups.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL")
+    first_id, first_fp, own_fp = unused(docs, "first_id"), unused(docs, "first_fp"), unused(docs, "own_fp")
+    firsts = firsts.toDF(first_id, first_fp).hint("merge")  # grows with the documents: never broadcast
     if unclear.isEmpty():
-        kept = firsts.select(F.col("id").alias("_first_id")).hint("merge")  # grows with the documents: never broadcast
-        return docs.join(kept, docs[id_col] == F.col("_first_id"), "left_semi")
-    keyed = docs.withColumns({"_first_id": F.col(id_col), "_fp": print_})
-    firsts = firsts.toDF("_kept_id", "_kept_fp")
-    same = F.col("_first_id").eqNullSafe(F.col("_kept_id")) & (F.col("_fp") == F.col("_kept_fp"))
-    kept = keyed.join(firsts.hint("merge"), same, "left_semi")
-    return kept.dropDuplicates(["_first_id", "_fp"]).drop("_first_id", "_fp")
-
-
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """The different shingle hashes of a text, in order."""
-    return np.unique(np.array(_hashes(text, width), "<u8"))
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key per band of min-wise hashes of a set; an empty set has none."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    rng = np.random.default_rng(SEED)
-    times, plus = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), CHUNK >> 6):
-        part = hashes[at : at + (CHUNK >> 6), None]
-        least = np.minimum(least, (part * (times | np.uint64(1)) + plus).min(axis=0))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for values in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ values) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
-
-
-def set_print(hashes: np.ndarray) -> int:
-    """A 64-bit hash of a whole set; texts with equal sets share it."""
-    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-
-
-def _set_prints(text: Column, width: int) -> Column:
-    @F.arrow_udf("long")
-    def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([set_print(shingle_set(t, width)) for t in texts.cast(pa.large_binary()).to_pylist()], pa.int64())
-
-    return fp(text)
-
-
-def _set_tables(text: Column, width: int) -> Column:
-    @F.arrow_udf("struct<fp: long, keys: array<long>>")
-    def tables(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            sets = [shingle_set(t, width) for t in texts.cast(pa.large_binary()).to_pylist()]
-            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.StructArray.from_arrays([pa.array(map(set_print, sets), pa.int64()), keys], ["fp", "keys"])
-
-    return tables.asNondeterministic()(text)
-
-
-def _sets(text: Column, width: int) -> Column:
-    @F.arrow_udf("array<long>")
-    def members(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            sets = [shingle_set(t, width).view(np.int64) for t in texts.cast(pa.large_binary()).to_pylist()]
-            yield pa.array(sets, pa.list_(pa.int64()))
-
-    return members(text)
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of at least 0.8, in whole numbers."""
-    one, two = sets.toDF("a", "of_a"), sets.toDF("b", "of_b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    held = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    return held.where(9 * common >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
-
-
-def _crossing(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of points (fp, root) of different roots, with all among them that are similar.
-
-    Sets are ordered by how rare a hash is among these points.  Two similar sets share a hash among the first
-    n - ceil(0.8 n) + 1 of each, and at the first one they share enough of both is left to reach the similarity.  Texts
-    made from one template thus meet only if they share some of what is their own.
-    """
-    n = F.col("n")
-    long = apart.join(sets.hint("merge"), "fp").select("fp", "root", F.size("members").alias("n"), F.explode("members").alias("hash"))
-    seen = long.groupBy("hash").agg(F.count(F.lit(1)).alias("seen"))
-    by_rarity = (
-        long.join(seen.hint("merge"), "hash").groupBy("fp", "root", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("seen", "hash"))).alias("order"))
-    )
-    first = F.slice(F.col("order.hash"), 1, n - F.ceil(4 * n / 5).cast("int") + 1)
-    held = settle(by_rarity.select("fp", "root", "n", F.posexplode(first).alias("at", "hash")))
-    other = held.toDF("fp_", "root_", "n_", "at_", "hash")
-    enough = 9 * F.least(n - F.col("at"), F.col("n_") - F.col("at_")) >= 4 * (n + F.col("n_"))
-    met = held.join(other.hint("merge"), (held["hash"] == other["hash"]) & (F.col("root") < F.col("root_")) & enough)
-    return met.select(F.least("fp", "fp_").alias("a"), F.greatest("fp", "fp_").alias("b")).distinct()
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, fp, root_fp) per row of `docs`: groups of texts linked by a Jaccard similarity of at least 0.8.
-
-    A table's members are first compared with its least and its greatest.  Where that leaves a table with several
-    groups, its members are searched for every similar pair of different groups, so no link inside a table is missed.
-    """
-    prints = settle(
-        docs.select(F.col(id_col).alias("id"), _set_tables(F.col(text_col), width).alias("s")).select("id", "s.fp", "s.keys")
-    )
-    points = settle(prints.groupBy("fp").agg(F.min("id").alias("first"), F.first("keys").alias("keys")))
-    keyed = points.select("fp", F.explode("keys").alias("key"))
-    tables = settle(
-        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
-    )
-    met = keyed.join(tables.hint("merge"), "key").select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp <> end")
-    pairs = settle(met.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct())
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(points.select("fp", "first"), "fp")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _set_prints(F.col(text_col), width).alias("fp"))
-    of_wanted = wanted.toDF("wanted", "first").hint("merge")
-    same = F.col("id").eqNullSafe(F.col("first")) & (F.col("fp") == F.col("wanted"))
-    found = texts.join(of_wanted, same, "left_semi").dropDuplicates(["fp"])
-    sets = settle(found.select("fp", _sets(F.col("text"), width).alias("members")))
-    links_ = settle(_similar(pairs, sets))
-
-    roots = settle(components(links_))
-    members = keyed.join(tables.where("n > 2").select("key").hint("merge"), "key").join(roots.toDF("fp", "root"), "fp", "left")
-    members = settle(members.select("key", "fp", F.coalesce("root", "fp").alias("root")))
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = settle(members.join(mixed, "key").select("fp", "root").distinct())
-    if not apart.isEmpty():
-        rest = settle(_crossing(apart, sets).join(pairs, ["a", "b"], "left_anti"))
-        roots = settle(components(links_.unionByName(_similar(rest, sets))))
-    return prints.select("id", "fp").join(roots.toDF("fp", "root_fp"), "fp", "left").select(
-        "id", "fp", F.coalesce("root_fp", "fp").alias("root_fp")
-    )
-
-
-def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """One row of each group of `similar_groups`, with the columns of `docs`, chosen as in `keep_first`.
-
-    Texts with fewer than `width` words are one shingle; texts without words are one group.
-    """
-    groups = settle(similar_groups(docs, id_col, text_col, width))
-    return _least_rows(docs, groups, id_col, _set_prints(F.col(text_col), width))
+        return docs.join(firsts.select(first_id), F.col(id_col) == F.col(first_id), "left_semi")
+    same = F.col(id_col).eqNullSafe(F.col(first_id)) & (F.col(own_fp) == F.col(first_fp))
+    kept = docs.withColumn(own_fp, fingerprint(F.col(text_col), width)).join(firsts, same, "left_semi")
+    return kept.dropDuplicates([id_col, own_fp]).drop(own_fp)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # the word rule and its separators are fixed by the data contract
@@ -18,3 +18,11 @@ def n_words(text: Column) -> Column:
 def key(c: Column) -> Column:
     """A text key that is never NULL: `=value`, or `-` for NULL, which sorts before every value's key."""
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` is called so in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

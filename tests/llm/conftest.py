@@ -6,7 +6,8 @@ def odd_docs(spark):
     """NULLs in every column, empty and blank texts, repeated rows and ids, ties, and extra columns with clashing names."""
     schema = (
         "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, row string, rank int, "
-        "size string, shard string, copies string, _id string, label string, kept string, score string, spans string"
+        "size string, shard string, copies string, _id string, label string, kept string, score string, spans string, "
+        "first_id string, first_fp string, own_fp string, _first_id string, _fp string"
     )
     long_text = "word and more text goes on here " * 2000
     rows = [
@@ -23,7 +24,7 @@ def odd_docs(spark):
         (7, "the same id again with quite another text that has ten words", "en", "b", 9),
         (8, "café 中文 \U0001f600 mail a@b.co ring +1 (555) 010-4477 now or 10.0.0.1 please thank you", "fr", "c", 9),
     ]
-    return spark.createDataFrame([r + (None,) * 12 for r in rows], schema)
+    return spark.createDataFrame([r + (None,) * 17 for r in rows], schema)
 
 
 @pytest.fixture()
