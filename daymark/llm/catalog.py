@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymark.catalog import Registry
-from daymark.llm import article, bpe, mixing, pii, quality, quotes, shards, simhash, topk, toxicity
+from daymark.llm import aligning, article, bpe, lexical, mixing, packing, pii, quality, quotes, shards, simhash, topk, toxicity
 
 registry = Registry()
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORDS, BYTES, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -225,3 +226,44 @@ SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c"
 def _mixing(spark: SparkSession, d: str) -> DataFrame:
     drawn = mixing.sample(table(spark, d, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+@registry.add("op11_packing")
+def _packing(spark: SparkSession, d: str) -> DataFrame:
+    pieces = packing.pack(table(spark, d, "documents"), public_tokenizers.path(WORDS), by_word=True)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@registry.add("op12_tokenizer_alignment")
+def _aligning(spark: SparkSession, d: str) -> DataFrame:
+    models = public_tokenizers.path(BYTES), public_tokenizers.path(PIECES)
+    return aligning.alignments(table(spark, d, "documents"), *models)
+
+
+_SEARCH_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SEARCH_TERMS} AS words FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM d WHERE len(words) > 0),
+q AS (SELECT DISTINCT item_id, list_sort(list_distinct({_SEARCH_TERMS})) AS terms FROM benchmark),
+i AS (SELECT row_number() OVER () AS item, item_id, unnest(terms) AS term FROM q),
+t AS (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM d),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t SEMI JOIN i USING (term) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM f CROSS JOIN s GROUP BY term),
+p AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))) AS impact
+  FROM f JOIN w USING (term) CROSS JOIN s),
+c AS (SELECT item, item_id, r, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM i JOIN p USING (term) GROUP BY ALL),
+o AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10"""
+
+
+@registry.add("op13_lexical_search", SEARCH_SQL)
+def _lexical(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark"), k=10)

@@ -26,3 +26,9 @@ def unused(df: DataFrame, name: str) -> str:
     while name in taken:
         name = f"_{name}"
     return name
+
+
+def slices(rows, n: int):
+    """An Arrow array or batch in pieces of at most `n` rows, so that few texts are unpacked at once."""
+    for at in range(0, len(rows), n):
+        yield rows.slice(at, n)

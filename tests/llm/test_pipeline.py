@@ -61,4 +61,4 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
 
 def test_all_operators_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.queries)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
