@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from daymark.llm.bpe import byte_characters
-from daymark.llm.chunks import Memo
+from daymark.llm.chunks import JOINED, LETTER, WORD, Memo, parts
 from daymark.llm.text import slices
 from daymark.session import settle
 
@@ -48,7 +48,8 @@ LIST = 1 << 16  # pairs in one row of a block's list
 WIDE = 1 << 12  # groups with more links are linked by their different ids and how often each occurs
 ID_BITS = 20
 GROUPS = "struct<a: array<int>, b: array<int>, a_ends: array<int>, b_ends: array<int>>"
-GAP = re.compile(r"(?<=\S) (?=\S)")
+BLANK, LINE = re.compile(r" (?=\S)(?<=\S )"), re.compile(r"\n(?=\S)(?<=\S\n)")  # one between other characters
+AFTER = re.compile(LETTER + r"[!-/:-@\[-`{-~]")  # a letter joined with punctuation after it
 
 
 class Pair:
@@ -69,10 +70,11 @@ class Pair:
         a_text = [(f"{i},".encode(), f"{i}|".encode()) for i in range(len(self.a_bytes))]
         b_text = [(f"{i},".encode(), f"{i};".encode()) for i in range(len(self.b_bytes))]
         self.text = [x for pair in a_text + b_text for x in pair]
-        self.memo = Memo(self._encode)
-        self.by_piece = self._a_splits(json.loads(a_model)) and not any(
-            "▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.vocab_size())
-        )
+        self.a_begins, self.b_begins = (np.array([x[:1] == b" " for x in t]) for t in (self.a_bytes, self.b_bytes))
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size()) if not self.b.is_byte(i)]
+        self.by_piece = self._a_splits(json.loads(a_model)) and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        by_stem = self.by_piece and not any(AFTER.search(p) for p in pieces if p not in ("<s>", "</s>", "<unk>"))
+        self.memo = Memo(self._encode, (lambda x, y: (x[0] + y[0], x[1] + y[1]) if x and y else ()) if by_stem else None)
 
     @staticmethod
     def _a_splits(model: dict) -> bool:
@@ -84,27 +86,59 @@ class Pair:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _encode(self, pieces: list[str]) -> Iterator[tuple[bytes, bytes] | tuple]:
-        """Ids of A and B of pieces that begin with a blank; nothing where their bytes are not the piece's."""
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            of_a = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            of_b = self.b.encode([p[1:] for p in some], num_threads=1)
-            for piece, a, b in zip(some, of_a, of_b, strict=True):
-                own = piece.encode()
-                same = b"".join([self.a_bytes[i] for i in a]) == own == b"".join([self.b_bytes[i] for i in b])
-                yield (np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else ()
+    def _encode(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes] | tuple]:
+        """Ids of A and B of pieces; nothing where their bytes are not the piece's.
+
+        Words of letters with a blank before them have one id of each tokenizer that begins with that blank, so many are
+        encoded as one text; other pieces one by one.
+        """
+        found, plain = {}, [p for p in pieces if WORD.fullmatch(p)] if self.by_piece else []
+        for at in range(0, len(plain), JOINED):
+            group = plain[at : at + JOINED]
+            text = "".join(group)
+            a, b, same = self._ids(text)
+            of_a, of_b = parts(a, self.a_begins, False, "<i4"), parts(b, self.b_begins, False, "<i4")
+            if same and len(of_a) == len(of_b) == len(group):
+                found.update(zip(group, zip(of_a, of_b, strict=True), strict=True))
+        for piece in pieces:
+            if piece not in found:
+                a, b, same = self._ids(piece)
+                found[piece] = (np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else ()
+        return found
+
+    def _ids(self, text: str) -> tuple[list[int], list[int], bool]:
+        """A's and B's ids, and whether their bytes are the text's.  B puts a first blank itself; a piece that has none is
+        encoded behind a line's end, which B joins with nothing."""
+        a = self.a.encode(text, add_special_tokens=False).ids
+        b = self.b.encode(text[1:]) if text[:1] == " " else self.b.encode("\n" + text)[len(self.b.encode("\n")) :]
+        own = text.encode()
+        return a, b, b"".join([self.a_bytes[i] for i in a]) == own == b"".join([self.b_bytes[i] for i in b])
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """A's and B's ids of each text; none for NULL, empty and unfaithful texts."""
-        pieces = [[" " + p for p in GAP.split(t)] if t and self.by_piece else [" " + t] if t else [] for t in texts]
+        pieces = [(self._split(t) if self.by_piece else [" " + t]) if t else [] for t in texts]
         found = self.memo(pieces)
-        for n, parts in enumerate(found):
-            if not all(parts):
-                found[n] = [x for x in self._encode([" " + texts[n]]) if x]
-        joined = [[b"".join([p[side] for p in parts]) for parts in found] for side in (0, 1)]
+        for n, of_pieces in enumerate(found):
+            if not all(of_pieces):
+                found[n] = self._whole(" " + texts[n])
+        joined = [[b"".join([p[side] for p in of_pieces]) for of_pieces in found] for side in (0, 1)]
         return tuple([np.frombuffer(x, "<i4") for x in side] for side in joined)
 
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """Blank+text cut before single blanks and around single line ends."""
+        first, *lines = LINE.split(" " + text)
+        head, *words = BLANK.split(first)
+        out = [head, *[" " + w for w in words]] if head else [" " + w for w in words]
+        for line in lines:
+            head, *words = BLANK.split(line)
+            out += ["\n", head, *[" " + w for w in words]]
+        return out
+
+    def _whole(self, text: str) -> list[tuple[bytes, bytes]]:
+        a, b, same = self._ids(text)
+        return [(np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes())] if same else []
+
 
 def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, bounds: np.ndarray, lane: int = LANE) -> np.ndarray:
     """Groups as rows (a_from, a_to, b_from, b_to) in order.

@@ -15,7 +15,9 @@ Ids are written once beside their key and meet their position by row number; the
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from daymark.llm.chunks import Memo
+from daymark.llm.chunks import JOINED, WORD_BYTES, Memo, parts
 from daymark.llm.text import slices
 from daymark.session import settle, shuffle_parts
 
 LENGTH, END = 2048, 1
 ROWS = 128  # texts encoded at once
 BUCKETS, DIMS, BITS, SEED = 1 << 12, 3, 10, 42
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # the split of the public word tokenizer
 RANGE_ROWS = 1 << 18  # documents of one range of the curve
 
 
@@ -41,14 +44,16 @@ def directions() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((BUCKETS, DIMS))
 
 
-def project(ids: np.ndarray, along: np.ndarray) -> np.ndarray:
-    """Coordinates of a document's hashed vector; a document without ids is at the origin."""
-    places = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
-    counts = np.bincount(places.astype(np.int64), minlength=BUCKETS)
-    held = np.flatnonzero(counts)
-    if not len(held):
-        return np.zeros(DIMS)
-    return np.sqrt(counts[held] / counts.sum()) @ along[held]
+def project(documents: list[np.ndarray], along: np.ndarray) -> np.ndarray:
+    """Coordinates of documents' hashed vectors, one row each; a document without ids is at the origin."""
+    sizes = np.array([len(ids) for ids in documents])
+    ids = np.concatenate([*documents, np.zeros(0, np.int64)]).astype(np.uint64)
+    places = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64)
+    places += np.repeat(np.arange(len(documents)) * BUCKETS, sizes)
+    counts = np.bincount(places, minlength=len(documents) * BUCKETS).reshape(-1, BUCKETS)
+    row, place = np.nonzero(counts)
+    weight = np.sqrt(counts[row, place] / sizes[row])
+    return np.stack([np.bincount(row, weight * axis[place], len(documents)) for axis in along.T], axis=1)
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -99,6 +104,7 @@ def _tokens(rows: DataFrame, path: str, end: int, by_word: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, kind = _memo(model)
+        memo.join = bytes.__add__ if by_word else None
         close = np.array([end], kind).tobytes()
         for batch in batches:
             for some in slices(batch, ROWS):
@@ -107,7 +113,7 @@ def _tokens(rows: DataFrame, path: str, end: int, by_word: bool) -> DataFrame:
                 ids = [np.frombuffer(x, kind) for x in found]
                 columns = [
                     some["id"], some["tie"], pa.array(found, pa.binary()), pa.array(map(len, ids), pa.int64()),
-                    pa.array([project(x[:-1], along) for x in ids], pa.list_(pa.float64())),
+                    pa.array(list(project([x[:-1] for x in ids], along)), pa.list_(pa.float64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "ids", "n", "v"])
 
@@ -120,17 +126,55 @@ def _memo(model: Broadcast) -> tuple[Memo, str]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         tokenizer = Tokenizer.from_buffer(model.value)
         kind = _kind(tokenizer)
-
-        def encode(pieces: list[bytes]) -> Iterator[bytes]:
-            for at in range(0, len(pieces), 4096):
-                texts = [p.decode() for p in pieces[at : at + 4096]]
-                for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+        text = json.loads(model.value)
+        suffix = text["model"].get("end_of_word_suffix")
+        added = [re.escape(t["content"].encode()) for t in text["added_tokens"]]
+        special = re.compile(b"|".join(added)) if added else None
+        of_words = Tokenizer.from_str(json.dumps(_for_words(text)))
+        closes = np.zeros(1 << 16 if kind == "<u2" else 1 + max(tokenizer.get_vocab().values()), bool)
+        closes[[i for token, i in tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+
+        def alone(words: list[bytes]) -> Iterator[bytes]:
+            for at in range(0, len(words), 4096):
+                some = [w.decode() for w in words[at : at + 4096]]
+                for found in tokenizer.encode_batch_fast(some, add_special_tokens=False):
                     yield np.array(found.ids, kind).tobytes()
 
-        model.memo = Memo(encode), kind
+        def encode(words: list[bytes]) -> dict[bytes, bytes]:
+            """Words of letters end with one id that closes a word, so many are encoded as one text; others one by one."""
+            found, plain = {}, [w for w in words if WORD_BYTES.fullmatch(w)] if suffix else []
+            groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+            joined = [b" ".join(g).decode() for g in groups]
+            for group, ids in zip(groups, of_words.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                split = parts(ids.ids, closes, True, kind)
+                if len(split) == len(group):
+                    found.update(zip(group, split, strict=True))
+            rest = [w for w in words if w not in found]
+            found.update(zip(rest, alone(rest), strict=True))
+            return found
+
+        model.memo = Memo(encode, special=special), kind
     return model.memo
 
 
+def _for_words(model: dict) -> dict:
+    """The tokenizer for Latin words between blanks, without the steps that leave such words as they are.
+
+    These are NFC and folding of white space before the split, and a split by classes of characters.  Another tokenizer stays
+    as it is.
+    """
+    before, split = model["normalizer"] or {}, model["pre_tokenizer"] or {}
+    steps = before.get("normalizers", [])
+    idle = [s for s in steps if s["type"] == "NFC" or (s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " ")]
+    kinds = [s["type"] for s in split.get("pretokenizers", [])]
+    if len(idle) + 1 != len(steps) or steps[-1] != {"type": "Lowercase"} or kinds != ["Split", "ByteLevel"]:
+        return model
+    if split["pretokenizers"][0]["pattern"] != {"Regex": LETTER_RUNS}:
+        return model
+    by_blank = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, split["pretokenizers"][1]]}
+    return model | {"normalizer": steps[-1], "pre_tokenizer": by_blank}
+
+
 def _kind(tokenizer: Tokenizer) -> str:
     return "<u2" if max(tokenizer.get_vocab().values(), default=0) < 1 << 16 else "<u4"
 
@@ -153,11 +197,11 @@ def _positions(tokens: DataFrame) -> DataFrame:
     """(row, before): how many tokens come before each document along the curve."""
     edges = [f(F.col("v")[i]).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(DIMS)]
     rows, *edges = tokens.agg(F.count(F.lit(1)), *edges).first()
-    parts = max(shuffle_parts(tokens.sparkSession), -(-rows // RANGE_ROWS))
+    ranges = max(shuffle_parts(tokens.sparkSession), -(-rows // RANGE_ROWS))
     edges = [e or 0.0 for e in edges]  # NULL without rows
     keyed = tokens.select("row", "tie", "n", _curve(F.col("v"), edges[:DIMS], edges[DIMS:]).alias("place"))
     order = ["place", "tie", "row"]
-    ranged = settle(settle(keyed).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    ranged = settle(settle(keyed).repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()))
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     totals = ranged.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -173,7 +217,7 @@ def _cut(placed: DataFrame, length: int, total: int, kind: str, id_field: T.Stru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, ROWS):
-                source, facts, parts = [], [], []
+                source, facts, cut = [], [], []
                 rows = zip(some["ids"].to_pylist(), some["before"].to_pylist(), strict=True)
                 for row, (ids, before) in enumerate(rows):
                     ids = np.frombuffer(ids, kind).astype("<u4")
@@ -188,10 +232,10 @@ def _cut(placed: DataFrame, length: int, total: int, kind: str, id_field: T.Stru
                             sequence, base = int(last[0]) // length + k, int(last[k])
                         source.append(row)
                         facts.append((low - before, high - low, len(ids), sequence, low - base))
-                        parts.append(ids[low - before : high - before].tobytes())
+                        cut.append(ids[low - before : high - before].tobytes())
                 numbers = [pa.array(c, pa.int64()) for c in zip(*facts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [some["id"].take(pa.array(source, pa.int64())), *numbers, pa.array(parts, pa.binary())], schema.names
+                    [some["id"].take(pa.array(source, pa.int64())), *numbers, pa.array(cut, pa.binary())], schema.names
                 )
 
     return placed.mapInArrow(run, schema)
@@ -210,7 +254,8 @@ def pack(
 
     `path` is a `tokenizers` file, `end` the id that closes each document, `ids` the piece's ids as little-endian 32-bit
     numbers, `doc_tokens` the document's ids with the closing one.  `length` should be a power of two.  `by_word` says
-    that the tokenizer never joins characters across ASCII white space, so words can be looked up one by one.
+    that the tokenizer joins no characters across ASCII white space nor a Latin letter with ASCII punctuation after it,
+    so words can be looked up one by one.
 
     NULL and empty texts are the closing id alone.  NULL and repeated ids are documents like any other; repeated rows lie
     side by side.  An empty table gives no pieces; other columns are not read.

@@ -88,7 +88,7 @@ def test_query_against_plain_walk(spark, sf_dir, plain, monkeypatch, small):
 
 
 def odd_text(rng):
-    signs = [*"ab Z9 \t\n\r\x0b\x1c\x85\xa0'.-|\x00", "  ", "́", "　", "▁", "ﬁ", "中", "日本", "\U0001f600", "'s", "é", "<|endoftext|>", "<s>", "<0x41>", " word", " the"]
+    signs = [*"ab Z9 \t\n\r\x0b\x1c\x85\xa0'.-|\x00", "  ", "́", "　", "▁", "ﬁ", "中", "日本", "\U0001f600", "'s", "é", "<|endoftext|>", "<s>", "<0x41>", " word", " the", " don't", "Été,", "İ.", "the.", "x\ny", "\n", "×", "÷", " ?!"]
     return "".join(rng.choice(signs) for _ in range(rng.randrange(40)))
 
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import types
 import zlib
 from collections import defaultdict
 
@@ -56,15 +57,21 @@ def test_words_one_by_one_give_the_same_ids(plain):
     rng = random.Random(7)
     signs = [*"aZ09 \t\n\r\x0b\x0c\x1c\x85\xa0'.-|", "́", "　", "İ", "Σ", "ς", "ﬁ", "中", "日本", "\U0001f600", "'s", "é", "<|endoftext|>", " ", "\x00"]
     tokenizer = Tokenizer.from_file(PATH)
+    with open(PATH, "rb") as file:
+        memo, kind = packing._memo(types.SimpleNamespace(value=file.read()))
     for _ in range(3000):
         text = "".join(rng.choice(signs) for _ in range(rng.randrange(30)))
-        words = [w.decode() for w in text.encode().split()]
-        assert [i for w in words for i in tokenizer.encode(w, add_special_tokens=False).ids] == plain(text)[:-1], repr(text)
+        words = text.encode().split()
+        assert [i for w in words for i in tokenizer.encode(w.decode(), add_special_tokens=False).ids] == plain(text)[:-1], repr(text)
+        for by_word in (True, False):
+            memo.join = bytes.__add__ if by_word else None
+            ids = np.frombuffer(b"".join(memo([words if by_word else [text.encode()]])[0]), kind)
+            assert ids.tolist() == plain(text)[:-1], repr(text)
 
 
 def test_memo_starts_anew(monkeypatch):
     asked = []
-    memo = chunks.Memo(lambda pieces: asked.extend(pieces) or [p.upper() for p in pieces])
+    memo = chunks.Memo(lambda pieces: asked.extend(pieces) or {p: p.upper() for p in pieces})
     assert memo([["a", "b", "a"], []]) == [["A", "B", "A"], []]
     assert memo([["b"]]) == [["B"]] and len(asked) == 2
     monkeypatch.setattr(chunks, "HELD", 1)
