@@ -13,11 +13,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.functions import num, safe_div, to_binary
+from daymark.operators.boost import BoostedCounts, PoissonTrees, split_importance, tree_nodes
 from daymark.operators.cluster import quotas
 from daymark.operators.ordering import hash_cuts, hash_ranked, quantile_values, quantiles, running, seeded_hash
 from daymark.operators.segments import top_per_group
@@ -269,14 +270,6 @@ def regression_metrics(df: DataFrame, y: str, pred: str) -> DataFrame:
     return one.withColumn("target_median", middle.scalar())
 
 
-def importance(model, features: Sequence[str], df: DataFrame) -> DataFrame:
-    """Importance of each feature in a tree ensemble (share of total gain)."""
-    values = model.featureImportances.toArray()
-    return df.sparkSession.createDataFrame(
-        [(f, float(v)) for f, v in zip(features, values)], "feature string, importance double"
-    )
-
-
 METRIC_FIELDS = {
     "row_count": "long", "positive_count": "long", "positive_rate": "double", "threshold": "double",
     "accuracy": "double", "precision": "double", "recall": "double", "f1": "double", "roc_auc": "double",
@@ -349,6 +342,10 @@ def _unfitted(names: Sequence[str], info: Mapping, why: str) -> ModelResult:
     return ModelResult([{**info, "model_type": name, "error": why} for name in names], [], [], [])
 
 
+# what Spark's learners say of data they cannot be fitted to
+UNFITTED = ("SingularMatrixException", "requirement failed")
+
+
 def _run(models, train: DataFrame, test: DataFrame, info: Mapping, features, judge) -> ModelResult:
     out = ModelResult.empty()
     for name, pipe, score, boosted in models:
@@ -360,16 +357,17 @@ def _run(models, train: DataFrame, test: DataFrame, info: Mapping, features, jud
                 out = out + judge(scored, about)
             finally:
                 scored.unpersist()
-        except (IllegalArgumentException, AnalysisException, ArithmeticException, Py4JJavaError) as exc:
+        except (IllegalArgumentException, AnalysisException, ArithmeticException, ValueError, Py4JJavaError) as exc:
             # one model that cannot be fitted to its data must not lose the others; failed tasks and bugs go through
-            if isinstance(exc, Py4JJavaError) and "SingularMatrixException" not in str(exc.java_exception):
+            if isinstance(exc, Py4JJavaError) and not any(x in str(exc.java_exception) for x in UNFITTED):
                 raise
             out.metrics.append({**about, "error": f"{type(exc).__name__}: {str(exc).splitlines()[0][:200]}"})
             continue
         if boosted:
-            shares = fitted.stages[-1].featureImportances.toArray()
+            trees = fitted.trees if isinstance(fitted, BoostedCounts) else fitted.stages[-1]
             keep = {k: about[k] for k in ("target_name", "population", "feature_set", "model_type")}
-            out.importance.extend({"feature": f, "importance": float(v), **keep} for f, v in zip(features, shares))
+            rows = split_importance(tree_nodes(train.sparkSession, trees, features), features).collect()
+            out.importance.extend({**r.asDict(), **keep} for r in rows)
     return out
 
 
@@ -392,7 +390,7 @@ def fit_binary(
 
     Every call gives a row per model; where there is nothing to fit (no such column, a single class, no rows to test) or
     a model fails, the row says so in `error`.  `min_leaf` is the least number of training rows in a leaf.
-    Boosted trees are Spark's (gain importances), so scores differ from other boosting libraries.
+    Boosted trees are Spark's, so scores differ from other boosting libraries; importances are split counts and gain shares.
     """
     names = [*["Baseline Logistic"][: int(baseline)], "Boosted"]
     info = {
@@ -459,10 +457,7 @@ def fit_count(
     min_leaf: int = 100,
     baseline: bool = True,
 ) -> ModelResult:
-    """Poisson baseline and boosted trees for a count; predictions are kept at 0 or above.
-
-    Spark's trees have no Poisson loss, so the boosted model uses squared error.
-    """
+    """Poisson baseline and boosted trees with Poisson loss for a count; predictions are kept at 0 or above."""
     names = [*["Baseline Poisson"][: int(baseline)], "Boosted"]
     info = {
         "task": "regression", "target_name": name, "target_col": y, "population": population_name,
@@ -483,12 +478,9 @@ def fit_count(
             return _unfitted(names, {**info, "row_count": size["n"]}, "too few rows to split")
         train = parts.where(~F.col("is_test")).persist(StorageLevel.MEMORY_AND_DISK)
         glm = GeneralizedLinearRegression(family="poisson", link="log", regParam=1e-4, maxIter=300)
-        trees = GBTRegressor(
-            maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=min_leaf,
-            subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed,
-        )
+        trees = PoissonTrees(features, rounds=rounds, min_leaf=min_leaf, seed=seed)
         pred = lambda f: f.select(id_col, "label", F.greatest(F.col("prediction"), F.lit(0.0)).alias("pred"))
-        models = [("Boosted", Pipeline(stages=[*_stages(features, False), trees]), pred, True)]
+        models = [("Boosted", trees, pred, True)]
         if baseline:
             models.insert(0, ("Baseline Poisson", Pipeline(stages=[*_stages(features, True), glm]), pred, False))
         def judge(scored: DataFrame, about: dict) -> ModelResult:

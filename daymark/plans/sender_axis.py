@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +25,21 @@ BOUNDS = {
     "sent_vote_active_days_d0_7": 8, "sent_vote_active_days_d0_14": 15, "sent_vote_active_days_d0_28": 29,
     "session_question_active_days_d0_7": 8,
 }
+# fixed values
 EXTREME_COLUMNS = [
     "payment_count_d0_28", "payment_count_d8_28", "payment_amount_d0_28", "payment_amount_d8_28",
     "sent_vote_count_d0_7", "sent_vote_complete_count_d0_7", "sent_vote_distinct_chosen_users_d0_7",
     "sent_vote_distinct_questions_d0_7", "received_vote_read_count_d0_7", "session_question_start_count_d0_7",
     "session_question_complete_count_d0_7", "session_question_skip_count_d0_7", "active_days_d0_28", "active_days_d8_28",
 ]
+# fixed values
 SENDER_FEATURES = [
     "sent_vote_count_d0", "sent_vote_count_d0_3", "sent_vote_count_d0_7", "sent_vote_complete_count_d0_7",
     "sent_vote_active_days_d0_7", "sent_vote_distinct_chosen_users_d0_7", "sent_vote_distinct_questions_d0_7",
     "session_question_start_count_d0_7", "session_question_complete_count_d0_7", "session_question_skip_count_d0_7",
     "session_question_completion_rate_d0_7", "session_question_skip_rate_d0_7",
 ]
+# fixed values
 DIFFERENCES = {
     "retention_d1_28_rate": "D1-D28 %+.1f%%p",
     "retention_d8_28_rate": "D8-D28 %+.1f%%p",
@@ -74,7 +78,11 @@ def group_table(mart: DataFrame) -> DataFrame:
 
 
 def run(mart: DataFrame, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] = cl.SEEDS) -> dict[str, DataFrame]:
-    """Bounds, extremes, group table with sensitivity, intensity table and sender clusters."""
+    """Bounds, extremes, group table with sensitivity, intensity table and sender clusters.
+
+    Where fewer than two features vary or there are too few different rows, the cluster tables have no rows and `reason`
+    says why; otherwise `reason` is empty.
+    """
     mart = settle(mart)
     kept, audit, removed = ql.apply_bounds(mart, bound_rules())
     home = kept.where("home_entry_population")
@@ -98,14 +106,25 @@ def run(mart: DataFrame, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] =
         "sensitivity": ql.sensitivity(home, reduced.where("home_entry_population"), ["sender_group"], measures),
         "intensity": sg.conditional_means(by_intensity, group_triples()),
     }
+    spark = mart.sparkSession
     features = cl.varying_columns(home, [c for c in SENDER_FEATURES if c in home.columns])
-    if len(features) < 2:
-        return out
-    scaled, transforms, used = cl.cluster_features(home, feature_spec(features, "skip"))
-    scaled = settle(scaled)
-    metrics, models = cl.sweep_kmeans(scaled, ks, seeds, min_share=0.0005)
-    best, table = cl.choose_k_by_silhouette(metrics)
-    users = cl.assign(models[best], scaled, "sender_cluster")
+    try:
+        if len(features) < 2:
+            raise cl.TooFewRows(f"too few usable features: {features}")
+        scaled, transforms, used = cl.cluster_features(home, feature_spec(features, "skip"))
+        scaled = settle(scaled)
+        metrics, models = cl.sweep_kmeans(scaled, ks, seeds, min_share=0.0005)
+    except cl.TooFewRows as why:
+        used = [c for c in SENDER_FEATURES if c in home.columns]
+        nobody = home.where("false").withColumns({f"z_{c}": F.lit(0.0) for c in used})
+        scaled = VectorAssembler(inputCols=[f"z_{c}" for c in used], outputCol="features").transform(nobody)
+        transforms = spark.createDataFrame([], "feature string, transform string, p99 double, used boolean")
+        table, model = cl.choose_k_table(spark), cl.Centers([[0.0] * len(used)])
+        reason = spark.createDataFrame([(str(why),)], "reason string")
+    else:
+        best, table = cl.choose_k_by_silhouette(metrics)
+        model, reason = models[best], spark.createDataFrame([], "reason string")
+    users = cl.assign(model, scaled, "sender_cluster")
     sessions = [c for c in used if c.startswith("session_question_") and "_count_" in c]
     prof = sg.profile(users, "sender_cluster", used)
     for c in ("sent_vote_count_d0_7", *sessions):
@@ -116,4 +135,4 @@ def run(mart: DataFrame, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] =
     mapping = cl.order_clusters(names, [*order, "sender_cluster"])
     labelled = users.join(F.broadcast(mapping.select("sender_cluster", "cluster_label")), "sender_cluster")  # k rows
     outcome = sg.conditional_means(sg.summarize(labelled, ["cluster_label"], group_metrics()), group_triples())
-    return out | {"transforms": transforms, "k_metrics": table, "mapping": mapping, "cluster_outcome": outcome, "users": labelled}
+    return out | {"transforms": transforms, "k_metrics": table, "mapping": mapping, "cluster_outcome": outcome, "users": labelled, "reason": reason}

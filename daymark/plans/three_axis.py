@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ AXES = {
         "candidate_unique_question_count_d0_7", "candidate_to_recv_rate_d0_7", "pending_votes",
     ],
 }
+# fixed values
 PROFILE_ONLY = [
     "same_school_joined_user_count", "same_class_total_users", "same_grade_total_users",
     "same_class_active_ratio_d0_7", "same_grade_active_ratio_d0_7", "candidate_exposure_days_d0_7",
@@ -71,6 +73,7 @@ WORDS = {
     "joint": "·",
     "count": "(n=%,d)",
 }
+# fixed values
 AXIS_NAMES = {
     "발신 행동축": "sender_axis_score_mean",
     "수신 반응축": "receiver_axis_score_mean",
@@ -280,15 +283,22 @@ def run(
     compare_ks: Sequence[int] = (4,),
     min_share: float = 0.01,
 ) -> dict[str, DataFrame]:
-    """Cluster the home-entry population and tabulate.  Tables of a compared k are prefixed `k<k>_`."""
+    """Cluster the home-entry population and tabulate.  Tables of a compared k are prefixed `k<k>_`.
+
+    Where fewer than four features vary, or there are too few different rows, no clustering is possible: the tables have their
+    columns and no rows, and `reason` says why.  Otherwise `reason` is empty.
+    """
     configured = [c for cols in AXES.values() for c in cols]
     base = settle(mart.where("home_entry_population"))
     usable = cl.varying_columns(base, configured)
     if len(usable) < 4:
-        raise ValueError(f"too few usable features: {usable}")
+        return empty(base, usable or configured, f"too few usable features: {usable}")
     scaled, transforms, kept = cl.cluster_features(base, feature_spec(usable))
     scaled = settle(scaled)
-    metrics, models = cl.sweep_kmeans(scaled, ks, seeds, min_share=min_share)
+    try:
+        metrics, models = cl.sweep_kmeans(scaled, ks, seeds, min_share=min_share)
+    except cl.TooFewRows as why:
+        return empty(base, kept, str(why))
     best, table = cl.choose_k(cl.elbow(metrics), manual=manual_k)
     out = {"transforms": transforms, "k_metrics": table, **solution(scaled, models[best], kept)}
     for k in compare_ks:
@@ -296,9 +306,25 @@ def run(
             out |= {f"k{k}_{n}": t for n, t in solution(scaled, models[k], kept).items()}
     plot, _shares = cl.project_pca(scaled, 2)  # every user; who draws it may sample
     out["pca"] = plot.select("user_id", "pc1", "pc2")
+    out["reason"] = mart.sparkSession.createDataFrame([], "reason string")
     return out
 
 
+def empty(base: DataFrame, features: Sequence[str], why: str) -> dict[str, DataFrame]:
+    """The tables of `run` without rows, and the reason."""
+    spark = base.sparkSession
+    nobody = base.where("false").withColumns({f"z_{c}": F.lit(0.0) for c in features})
+    nobody = VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="features").transform(nobody)
+    metrics = cl.choose_k_table(spark)
+    return {
+        "transforms": spark.createDataFrame([], "feature string, transform string, p99 double, used boolean"),
+        "k_metrics": metrics,
+        **solution(nobody, cl.Centers([[0.0] * len(features)]), features),
+        "pca": nobody.select("user_id", F.lit(0.0).alias("pc1"), F.lit(0.0).alias("pc2")),
+        "reason": spark.createDataFrame([(why,)], "reason string"),
+    }
+
+
 def window_rates(mart: DataFrame, windows: Sequence[str] = tuple(SENT_WINDOWS), prefix: str = "sent_vote") -> DataFrame:
     """Share of users with experience in each window."""
     return metric_check(mart, [MetricSpec(w, "rate", f"{prefix}_experience_{w}") for w in windows])
