@@ -7,7 +7,7 @@ product.  Only terms that some query holds can score, so vectors are kept over t
    of terms and of documents per term follow from these narrow rows.
 2. Vectors are ordered by length (Euclidean norm) into ranges; each run of rows of one range is a bucket of vectors of
    nearly one length.
-3. The longest vectors give every query a first threshold: its k-th best score among them.
+3. The longest vectors, about one bucket of them, give every query a first threshold: its k-th best score among them.
 4. Every bucket is searched on its own.  By Cauchy-Schwarz a query skips a bucket whose greatest norm times its own
    is below the query's threshold.  Inside a bucket the query's rarest terms are its focus: a document stays only if each
    focus coordinate of its direction lies between the two bounds that the needed cosine leaves, and if the focus
@@ -282,12 +282,14 @@ def _search_block(spark, texts: DataFrame, asked: DataFrame, k: int) -> DataFram
     queries = [np.array([places[t] for t in r["terms"]]) for r in rows]
     queries = spark.sparkContext.broadcast([q[np.argsort(-w[q], kind="stable")] for q in queries])
     nothing = spark.sparkContext.broadcast([0] * len(rows))
-    longest = ordered.orderBy(F.desc("norm")).limit(BUCKET)
-    first = _hits(longest, queries, nothing, k, len(vocabulary)).groupBy("query")
-    reached = first.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == k).collect()
+    share = 1 - min(1.0, BUCKET / max(n_docs or 0, 1))
+    cut = ordered.agg(F.percentile_approx("norm", share, 10000)).first()[0] or 0.0
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"))
+    first = _hits(ordered.where(F.col("norm") >= cut), queries, nothing, k, len(vocabulary))
+    reached = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+    reached = reached.select("query", F.col("score").alias("least")).collect()
     least = {r["query"]: r["least"] for r in reached}
     least = spark.sparkContext.broadcast([least.get(q, 0) for q in range(len(rows))])
     hits = _hits(ordered, queries, least, k, len(vocabulary))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.join(F.broadcast(named), "query")
