@@ -207,3 +207,16 @@ def test_outputs_round_trip(spark, tmp_path, rows):
     back = read_source(spark, write_output(df, str(tmp_path / "c"), fmt="csv"), "v double, user_id bigint", fmt="csv")
     assert rows(back, "user_id", "v") == [(1, 2.5), (2, None)]
     assert read_mart(spark, str(tmp_path / "p")).schema["user_id"].dataType.typeName() == "string"
+
+
+def test_runs_without_users_give_empty_tables_and_the_reason(spark, sf_dir):
+    from daymark.catalog.runs import source_frames
+    from daymark.plans import sender_axis, three_axis
+    from daymark.session import settle
+
+    mart = settle(three_axis.build_mart(source_frames(spark, sf_dir)).where("false"))
+    for run, tables in ((three_axis.run, ("users", "mapping", "outcome", "pca", "k_metrics")), (sender_axis.run, ("users", "mapping", "cluster_outcome", "k_metrics"))):
+        out = run(mart)
+        assert "too few" in out["reason"].first()["reason"]
+        for name in tables:
+            assert out[name].isEmpty() and len(out[name].columns) > 1, name
