@@ -518,8 +518,8 @@ FIT_FEATURES = ["accepted", "balance", "region"]
 
 @add("fit_binary")
 def _(s, d):
-    """20 boosting rounds; README has the time of the default of 250."""
-    return pd.fit_binary(_buyers_mart(s, d), "paid", FIT_FEATURES, name="paid", rounds=20).metrics_frame(s)
+    """The default of 250 boosting rounds."""
+    return pd.fit_binary(_buyers_mart(s, d), "paid", FIT_FEATURES, name="paid").metrics_frame(s)
 
 
 @add("fit_count")
