@@ -28,7 +28,7 @@ from daymark.functions import MetricSpec
 from daymark.operators import metrics as mt
 from daymark.operators import peers as pr
 from daymark.operators import windows as wn
-from daymark.operators.windows import pick
+from daymark.operators.windows import Fact, fact_metrics, pick
 from daymark.session import settle
 
 add = registry.add
@@ -481,6 +481,69 @@ def _(s, d):
     return mt.leave_one_out(_activity(s, d), users(s, d), "click", pick("d0_28", "d8_28"))
 
 
+def _each(a, b):
+    every = "count(DISTINCT day) FILTER (event_type IN ('click', 'view', 'error') AND off BETWEEN {a} AND {b})"
+    rest = {k: ", ".join(f"'{o}'" for o in ("click", "view", "error") if o != k) for k in ("click", "view", "error")}
+    without = {k: f"count(DISTINCT day) FILTER (event_type IN ({o}) AND off BETWEEN {a} AND {b})" for k, o in rest.items()}
+    every = every.format(a=a, b=b)
+    return every, without
+
+
+def _each_sql(W):
+    cells = []
+    for w, (a, b) in W.items():
+        every, without = _each(a, b)
+        cells.append(f"{every} AS active_days_{w}")
+        for k, c in without.items():
+            cells.append(f"{c} AS active_days_excl_{k}_{w}, {every} - {c} AS {k}_gap_{w}")
+    return ", ".join(cells)
+
+
+@add(
+    "leave_each_out",
+    EVENT_CTES
+    + f""", seen AS (SELECT DISTINCT user_id, off FROM eo WHERE event_type IN ('click', 'view', 'error') AND off BETWEEN 0 AND 62),
+    runs AS (SELECT user_id, off, off - row_number() OVER (PARTITION BY user_id ORDER BY off) AS island FROM seen),
+    lengths AS (SELECT user_id, max(n) AS run FROM (SELECT user_id, island, count(*) AS n FROM runs GROUP BY 1, 2) GROUP BY 1),
+    ends AS (SELECT user_id, min(off) AS lo, max(off) AS hi FROM seen GROUP BY 1),
+    c AS (SELECT user_id, {_each_sql(W_ACT)} FROM eo GROUP BY 1)
+    SELECT c.*, lo AS first_active_day, hi AS last_active_day, coalesce(run, 0) AS longest_active_run
+    FROM c LEFT JOIN ends USING (user_id) LEFT JOIN lengths USING (user_id)
+    """,
+)
+def _(s, d):
+    return mt.leave_each_out(_activity(s, d), users(s, d), W_ACT)
+
+
+@add(
+    "fact_metrics",
+    EVENT_CTES
+    + "SELECT user_id, "
+    + win(
+        pick("d0_7", "d0_28"),
+        "count(*) FILTER (event_type = 'click' AND off BETWEEN {a} AND {b}) AS clicks_{w}, "
+        "count(DISTINCT day) FILTER (event_type IN ('click', 'view') AND off BETWEEN {a} AND {b}) AS active_days_{w}, "
+        "CAST(coalesce(sum(value) FILTER (event_type = 'view' AND off BETWEEN {a} AND {b}), 0) AS DOUBLE) AS viewed_{w}, "
+        "CAST(avg(value) FILTER (event_type = 'view' AND off BETWEEN {a} AND {b}) AS DOUBLE) AS view_mean_{w}, "
+        "min(day) FILTER (event_type = 'error' AND off BETWEEN {a} AND {b}) AS first_error_{w}, "
+        "count(DISTINCT item_id) FILTER (event_type = 'click' AND off BETWEEN {a} AND {b}) AS items_{w}",
+    )
+    + " FROM eo GROUP BY user_id",
+)
+def _(s, d):
+    W, active = pick("d0_7", "d0_28"), MetricSpec("active_days", "days")
+    clicks = [MetricSpec("clicks", "rows"), MetricSpec("items", "distinct", "item_id"), active]
+    views = [MetricSpec("viewed", "sum", "value"), MetricSpec("view_mean", "mean", F.col("value").cast("double")), active]
+    return fact_metrics(
+        [
+            Fact(of_type(s, d, "click"), [(W, clicks)]),
+            Fact(of_type(s, d, "view"), [(W, views)]),
+            Fact(of_type(s, d, "error"), [(W, [MetricSpec("first_error", "min", "day")])]),
+        ],
+        users(s, d),
+    )
+
+
 @add(
     "session_behaviour",
     DEAL_CTES

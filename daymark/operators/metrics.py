@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymark.functions import MetricSpec, col_of, digits, money, safe_div
+from daymark.functions.daymask import DAYS, day_mask, days_in, first_day, last_day, longest_run, union_mask
 from daymark.operators.peers import active_peers, group_sizes
 from daymark.operators.tables import fill_defaults, union_all
 from daymark.operators.windows import (
@@ -73,18 +74,16 @@ def payment_metrics(
 ) -> DataFrame:
     """Payments, payment days, amount and paid flag per window."""
     amount = payment_amount(pay)[0] if amount_col is None else col_of(amount_col)
-    return window_metrics(
-        pay.withColumn("_amount", amount),
-        users,
-        W,
-        [
-            MetricSpec("payment_count", "rows"),
-            MetricSpec("payment_active_days", "days"),
-            MetricSpec("payment_amount", "sum", "_amount"),
-            MetricSpec("paid_flag", "flag"),
-        ],
-        date_col=date_col,
-    )
+    return window_metrics(pay, users, W, payment_specs(amount), date_col=date_col)
+
+
+def payment_specs(amount: Column) -> list[MetricSpec]:
+    return [
+        MetricSpec("payment_count", "rows"),
+        MetricSpec("payment_active_days", "days"),
+        MetricSpec("payment_amount", "sum", amount),
+        MetricSpec("paid_flag", "flag"),
+    ]
 
 
 def sender_metrics(
@@ -98,20 +97,27 @@ def sender_metrics(
     date_col: str = "day",
 ) -> DataFrame:
     """Sent records, completions, active days, distinct partners / items, experience and completion rate."""
-    M = [
+    out = window_metrics(fact, users, W, sender_specs(done, distinct, prefix), user_col, date_col)
+    return complete_rates(out, W, prefix)
+
+
+def sender_specs(done: str | Column, distinct: Mapping[str, str], prefix: str = "sent") -> list[MetricSpec]:
+    return [
         MetricSpec(f"{prefix}_count", "rows"),
         MetricSpec(f"{prefix}_complete_count", "rows", where=done),
         MetricSpec(f"{prefix}_active_days", "days"),
         MetricSpec(f"{prefix}_experience", "flag"),
         *[MetricSpec(f"{prefix}_{name}", "distinct", c) for name, c in distinct.items()],
     ]
-    out = window_metrics(fact, users, W, M, user_col, date_col)
-    return out.withColumns(
+
+
+def complete_rates(df: DataFrame, windows: Iterable[str], prefix: str = "sent") -> DataFrame:
+    return df.withColumns(
         {
             f"{prefix}_complete_rate_{w}": safe_div(
                 f"{prefix}_complete_count_{w}", f"{prefix}_count_{w}", clip=(0, 1)
             )
-            for w in W
+            for w in windows
         }
     )
 
@@ -127,18 +133,16 @@ def receiver_metrics(
     prefix: str = "received",
 ) -> DataFrame:
     """Received records, days, reads and opens.  `date_col` chooses the creation day or the read day."""
-    return window_metrics(
-        as_role(fact, receiver_col),
-        users,
-        W,
-        [
-            MetricSpec(f"{prefix}_count", "rows"),
-            MetricSpec(f"{prefix}_days", "days"),
-            MetricSpec(f"{prefix}_read_count", "rows", where=col_of(read)),
-            MetricSpec(f"{prefix}_opened_times", "sum", opened),
-        ],
-        date_col=date_col,
-    )
+    return window_metrics(as_role(fact, receiver_col), users, W, receiver_specs(read, opened, prefix), date_col=date_col)
+
+
+def receiver_specs(read: str | Column = "read_flag", opened: str = "opened_times", prefix: str = "received") -> list[MetricSpec]:
+    return [
+        MetricSpec(f"{prefix}_count", "rows"),
+        MetricSpec(f"{prefix}_days", "days"),
+        MetricSpec(f"{prefix}_read_count", "rows", where=col_of(read)),
+        MetricSpec(f"{prefix}_opened_times", "sum", opened),
+    ]
 
 
 def receiver_rates(df: DataFrame, window: str = "d0_7", prefix: str = "received", last_day: int = 7) -> DataFrame:
@@ -176,20 +180,18 @@ def edge_window_metrics(
     """Requests sent and received per window with how many were accepted."""
 
     def side(role_col: str, name: str) -> DataFrame:
-        return window_metrics(
-            as_role(edges, role_col),
-            users,
-            W,
-            [
-                MetricSpec(f"{prefix}_{name}_count", "rows"),
-                MetricSpec(f"{prefix}_{name}_accepted_count", "rows", where=col_of(accepted)),
-            ],
-            date_col=date_col,
-        )
+        return window_metrics(as_role(edges, role_col), users, W, edge_specs(name, accepted, prefix), date_col=date_col)
 
     return side(sender_col, "sent").join(side(receiver_col, "received"), "user_id")
 
 
+def edge_specs(side: str, accepted: str | Column = "accepted", prefix: str = "friend") -> list[MetricSpec]:
+    return [
+        MetricSpec(f"{prefix}_{side}_count", "rows"),
+        MetricSpec(f"{prefix}_{side}_accepted_count", "rows", where=col_of(accepted)),
+    ]
+
+
 def delta_metrics(
     points: DataFrame,
     users: DataFrame,
@@ -203,15 +205,19 @@ def delta_metrics(
         points.withColumn(delta_col, F.coalesce(F.col(delta_col), F.lit(0))),
         users,
         W,
-        [
-            MetricSpec(f"{prefix}_event_count", "rows"),
-            MetricSpec(f"{prefix}_use_count", "rows", where=F.col(delta_col) < 0),
-            MetricSpec(f"{prefix}_delta_sum", "sum", delta_col),
-        ],
+        delta_specs(delta_col, prefix),
         date_col=date_col,
     )
 
 
+def delta_specs(delta_col: str = "delta_point", prefix: str = "point") -> list[MetricSpec]:
+    return [
+        MetricSpec(f"{prefix}_event_count", "rows"),
+        MetricSpec(f"{prefix}_use_count", "rows", where=F.coalesce(F.col(delta_col), F.lit(0)) < 0),
+        MetricSpec(f"{prefix}_delta_sum", "sum", F.coalesce(F.col(delta_col), F.lit(0))),
+    ]
+
+
 def activity_days(*frames: DataFrame, user_col: str = "user_id", day_col: str = "activity_date") -> DataFrame:
     """Distinct (user, day) over several activity sources."""
     return union_all(*[f.select(user_col, day_col) for f in frames]).dropna().distinct()
@@ -246,6 +252,56 @@ def leave_one_out(
     )
 
 
+def source_masks(
+    frames: Mapping[str, DataFrame], users: DataFrame, user_col: str = "user_id", date_col: str = "activity_date"
+) -> DataFrame:
+    """One row per user of `users` with the day mask of every source (`<source>_mask`, days 0 to 62 after signup).
+
+    Rows collapse, with map-side combining, to one long per user, source and 63 calendar days before they meet the signup
+    day; a user with a third of all events brings as many rows to the join as any other.  One pass serves all sources.
+    """
+    tagged = union_all(
+        *[f.select(F.col(user_col).alias("user_id"), F.unix_date(F.col(date_col).cast("date")).alias("_d"), F.lit(n).alias("_source"))
+          for n, f in frames.items()]
+    ).where("user_id is not null and _d is not null")
+    block = F.floor(F.col("_d") / DAYS).cast("int")
+    blocks = tagged.groupBy("user_id", "_source", block.alias("_block")).agg(day_mask(F.pmod("_d", F.lit(DAYS))).alias("_bits"))
+    base = users.select("user_id", F.unix_date("signup_date").alias("_signup"))
+    # the calendar block starts `_by` days after signup: shift its bits into place, what falls outside is gone
+    placed = base.join(blocks, "user_id", "left").withColumn("_by", F.col("_block") * DAYS - F.col("_signup"))
+    moved = F.expr(
+        f"case when _by between 0 and {DAYS - 1} then shiftleft(_bits, _by) & {(1 << DAYS) - 1}L "
+        f"when _by between {1 - DAYS} and -1 then shiftrightunsigned(_bits, -_by) else 0L end"
+    )
+    return placed.groupBy("user_id").agg(
+        *[F.coalesce(F.bit_or(F.when(F.col("_source") == n, moved)), F.lit(0).cast("long")).alias(f"{n}_mask") for n in frames]
+    )
+
+
+def leave_each_out(
+    frames: Mapping[str, DataFrame], users: DataFrame, W: Windows, user_col: str = "user_id", date_col: str = "activity_date"
+) -> DataFrame:
+    """Active days with all sources, without each source in turn, and the gaps; first and last active day and longest
+    streak within days 0 to 62.  One call and one pass for every source.
+    """
+    masks = source_masks(frames, users, user_col, date_col)
+    every = union_mask(*[f"{n}_mask" for n in frames])
+    cells = {}
+    for w, (a, b) in W.items():
+        cells[f"active_days_{w}"] = days_in(every, a, b)
+        for n in frames:
+            rest = union_mask(*[f"{o}_mask" for o in frames if o != n])
+            cells[f"active_days_excl_{n}_{w}"] = days_in(rest, a, b)
+            cells[f"{n}_gap_{w}"] = days_in(every, a, b) - days_in(rest, a, b)
+    return masks.select(
+        "user_id",
+        *[c.alias(n) for n, c in cells.items()],
+        first_day(every).alias("first_active_day"),
+        last_day(every).alias("last_active_day"),
+        longest_run(every).alias("longest_active_run"),
+    )
+
+
 def session_behaviour(
     events: DataFrame,
     ids: DataFrame,

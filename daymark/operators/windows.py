@@ -8,11 +8,13 @@ all events still brings only a handful of rows to the join.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daymark.functions import MetricSpec, col_of
+from daymark.functions.daymask import day_mask, days_in, fits
 
 Windows = Mapping[str, tuple[int, int]]
 
@@ -72,18 +74,19 @@ def _partials(m: MetricSpec) -> dict[str, Column]:
     raise ValueError(f"metric kind {m.kind} has no daily form")
 
 
-def _finals(m: MetricSpec, w: str, W: Windows) -> Column:
-    """The metric in one window from daily partials.
+def _finals(m: MetricSpec, w: str, W: Windows, value: str | None = None, number: str | None = None) -> Column:
+    """The metric in one window from daily partials, which `value` (and `number`, the rows of a mean) may name.
 
     Written as SQL text: with many metrics and windows, one expression string per column keeps plan building short.
     """
     inside = "day_offset between {} and {}".format(*W[w])
-    part = f"case when {inside} then `{m.name}` end"
+    value, number = value or f"`{m.name}`", number or f"`{m.name}__n`"
+    part = f"case when {inside} then {value} end"
     text = {
         "rows": f"coalesce(sum({part}), 0)",
-        "days": f"count_if({inside} and `{m.name}` > 0)",
+        "days": f"count_if({inside} and {value} > 0)",
         "flag": f"coalesce(max({part}), 0) > 0",
-        "mean": f"try_divide(cast(sum({part}) as double), sum(case when {inside} then `{m.name}__n` end))",
+        "mean": f"try_divide(cast(sum({part}) as double), sum(case when {inside} then {number} end))",
         "min": f"min({part})",
         "max": f"max({part})",
     }
@@ -160,6 +163,104 @@ def window_metrics(
     return out.select("user_id", *[f"{m.name}_{w}" for w in W for m in M])
 
 
+def _row_values(m: MetricSpec) -> dict[str, Column]:
+    """What one row adds to the daily partials of `_partials`."""
+    gate = m.gate()
+    if m.kind in ("rows", "days", "flag"):
+        return {m.name: (F.lit(1) if gate is None else F.when(gate, 1).otherwise(0)).cast("long")}
+    if m.kind == "count":
+        return {m.name: F.when(m.value().isNotNull(), 1).otherwise(0).cast("long")}
+    if m.kind == "mean":
+        return {m.name: m.value(), f"{m.name}__n": F.when(m.value().isNotNull(), 1).otherwise(0).cast("long")}
+    if m.kind in ("sum", "min", "max"):
+        return {m.name: m.value()}
+    raise ValueError(f"metric kind {m.kind} has no daily form")
+
+
+@dataclass(frozen=True, eq=False)
+class Fact:
+    """Rows of one user role with the metrics they add to, as (windows, metrics) pairs."""
+
+    frame: DataFrame
+    parts: Sequence[tuple[Windows, Sequence[MetricSpec]]]
+    user_col: str = "user_id"
+    date_col: str = "day"
+
+
+def fact_metrics(facts: Sequence[Fact], users: DataFrame) -> DataFrame:
+    """`window_metrics` of several facts in one pass: one row per user of `users`, `<metric>_<window>` columns.
+
+    The rows of all facts are united in a narrow form (user, day, fact and a few value columns that the facts share by type),
+    summed per user, day and fact with map-side combining, met with the signup day once and grouped once, however many facts
+    there are.  Days are counted from one day mask per metric.  Facts that name the same metric add to it together (active
+    days over several sources); its kind and windows must then agree.  Metrics of days need windows within days 0 to 62.
+    Different items are counted by `distinct_in_windows` beside it.
+    """
+    specs: dict[str, tuple[MetricSpec, dict]] = {}
+    found: dict[str, list[tuple[int, str]]] = {}  # partial -> (fact, slot)
+    slots: dict[str, str] = {}  # slot -> how it is merged
+    branches, distinct = [], []
+    for i, f in enumerate(facts):
+        values, merge = {}, {}
+        for W, M in f.parts:
+            items = {m.name: m.col for m in M if m.kind == "distinct"}
+            if items:
+                distinct.append((f, items, W))
+            for m in M:
+                if m.name in values:
+                    raise ValueError(f"metric {m.name} is named twice in one fact")
+                known = specs.setdefault(m.name, (m, dict(W)))
+                if (known[0].kind, known[1]) != (m.kind, dict(W)):
+                    raise ValueError(f"metric {m.name} has two kinds or window sets")
+                if m.kind == "days" and not fits(W):
+                    raise ValueError(f"windows of {m.name} reach beyond a day mask")
+                if m.kind != "distinct":
+                    values.update(_row_values(m))
+                    merge.update({n: m.kind if m.kind in ("min", "max") else "sum" for n in _row_values(m)})
+        if not values:
+            continue
+        rows = f.frame.select(
+            F.col(f.user_col).alias("user_id"),
+            F.col(f.date_col).cast("date").alias("day"),
+            *[c.alias(n) for n, c in values.items()],
+        ).where("user_id is not null and day is not null")
+        kinds, used, named = dict(rows.dtypes), {}, []
+        for n in values:
+            group = f"{merge[n]}_{kinds[n]}"
+            used[group] = used.get(group, -1) + 1
+            slot = f"{group}_{used[group]}"
+            slots[slot] = merge[n]
+            found.setdefault(n, []).append((i, slot))
+            named.append(F.col(f"`{n}`").alias(slot))
+        branches.append(rows.select("user_id", "day", F.lit(i).alias("_fact"), *named))
+    base = users.select("user_id", "signup_date")
+    out = base.select("user_id")
+    if branches:
+        rows = branches[0]
+        for b in branches[1:]:
+            rows = rows.unionByName(b, allowMissingColumns=True)
+        daily = rows.groupBy("user_id", "day", "_fact").agg(*[getattr(F, how)(f"`{s}`").alias(s) for s, how in slots.items()])
+        placed = base.join(daily, "user_id", "left").withColumn("day_offset", F.datediff("day", "signup_date"))
+        cells = []
+        for m, W in specs.values():
+            if m.kind == "distinct":
+                continue
+            value, number = (
+                "case " + " ".join(f"when _fact = {i} then `{slot}`" for i, slot in found.get(n, [])) + " end" if n in found else None
+                for n in (m.name, f"{m.name}__n")
+            )
+            if m.kind == "days":
+                mask = day_mask("day_offset", f"({value}) > 0")
+                cells += [days_in(mask, *W[w]).alias(f"{m.name}_{w}") for w in W]
+            else:
+                cells += [_finals(m, w, W, value, number) for w in W]
+        out = placed.groupBy("user_id").agg(*cells)
+    for f, items, W in distinct:
+        counts = distinct_in_windows(f.frame, users, items, W, f.user_col, f.date_col)
+        out = out.join(counts, "user_id", "left").fillna(0, subset=[c for c in counts.columns if c != "user_id"])
+    return out
+
+
 def first_in_window(
     df: DataFrame, users: DataFrame, window: str, W: Windows = WINDOWS, user_col: str = "user_id", date_col: str = "day"
 ) -> DataFrame:

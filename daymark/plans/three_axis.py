@@ -14,10 +14,10 @@ from daymark.operators import metrics as mt
 from daymark.operators import segments as sg
 from daymark.operators.peers import active_peers
 from daymark.operators.quality import metric_check
-from daymark.operators.tables import bucketize, flag_member
-from daymark.operators.windows import first_in_window, in_window, pick, signup_offset
+from daymark.operators.tables import bucketize, flag_member, union_all
+from daymark.operators.windows import Fact, after_anchor_parts, as_role, fact_metrics, in_window, pick, signup_offset
 from daymark.plans import sources as src
-from daymark.session import settle
+from daymark.session import settle, settle_all
 
 INF = float("inf")
 
@@ -83,41 +83,54 @@ AXIS_NAMES = {
 
 def build_mart(frames: Mapping[str, DataFrame]) -> DataFrame:
     """One row per user with outcomes, sending, receiving, network, session and exposure metrics."""
-    users = settle(src.users_population(frames["users"], frames["groups"], frames["user_properties"]))
     # each fact feeds several metrics: dedup and narrow it once, then read the small copy
-    attendance = settle(src.attendance_days(frames["attendance"]))
-    pay = settle(src.payments(frames["payment"]))
-    rec = settle(src.records(frames["question_record"]))
-    req = settle(src.requests(frames["friend_request"]))
-    pts = settle(src.points(frames["point_history"]))
-
-    retained = mt.retention(attendance, users, pick("d1_28", "d8_28"))
-    paid = mt.payment_metrics(pay, users, pick("d0_28", "d8_28"))
-    sent = mt.sender_metrics(
-        rec,
-        users,
-        SENT_WINDOWS,
-        F.col("completed"),
-        {"distinct_chosen_users": "chosen_user_id", "distinct_questions": "question_id"},
-        "sent_vote",
+    small = settle_all(
+        users=src.users_population(frames["users"], frames["groups"], frames["user_properties"]),
+        attendance=src.attendance_days(frames["attendance"]),
+        pay=src.payments(frames["payment"]),
+        rec=src.records(frames["question_record"]),
+        req=src.requests(frames["friend_request"]),
+        pts=src.points(frames["point_history"]),
+    )
+    users, attendance, pay, rec, req, pts = (small[n] for n in ("users", "attendance", "pay", "rec", "req", "pts"))
+
+    # a day is active if any source has a row on it: the facts below share the metric
+    active_days = [(pick("d0_7", "d0_28", "d8_28"), [MetricSpec("active_days", "days")])]
+    use_days = [(pick("d0_7", "d0_28", "d8_28"), [MetricSpec("active_days", "days", where="delta_point < 0")])]
+    near, sources = pick("d0_7", "d0_28"), activity_sources(rec, req, pts, users)
+    items = {"distinct_chosen_users": "chosen_user_id", "distinct_questions": "question_id"}
+    got_specs = mt.receiver_specs(prefix="received_vote")
+    facts = [
+        Fact(attendance, [(pick("d1_28", "d8_28"), [MetricSpec("attendance_days", "days")])]),
+        Fact(pay, [(pick("d0_28", "d8_28"), mt.payment_specs(mt.payment_amount(pay)[0]))]),
+        Fact(rec, [(SENT_WINDOWS, mt.sender_specs(F.col("completed"), items, "sent_vote")), *active_days]),
+        Fact(
+            as_role(rec, "chosen_user_id"),
+            [(pick("d0_3", "d0_7", "d0_28"), got_specs), (pick("d0_7"), [MetricSpec("_first_received", "min", "day")])],
+        ),
+        Fact(as_role(req, "send_user_id"), [(near, mt.edge_specs("sent")), *active_days]),
+        Fact(as_role(req, "receive_user_id"), [(near, mt.edge_specs("received"))]),
+        Fact(pts, [(near, mt.delta_specs()), *use_days]),
+        *[Fact(sources[n], active_days, date_col="activity_date") for n in ("read", "friend_accept")],
+    ]
+    once = settle(fact_metrics(facts, users))
+    sent = mt.complete_rates(once, ["d0_7"], "sent_vote").withColumns(
+        {f"retention_{w}": F.col(f"attendance_days_{w}") >= 1 for w in ("d1_28", "d8_28")}
     )
-    sent = sent.drop(*[f"sent_vote_complete_rate_{w}" for w in SENT_WINDOWS if w != "d0_7"])
-    got = mt.receiver_metrics(rec, users, pick("d0_3", "d0_7", "d0_28"), prefix="received_vote")
-    first = first_in_window(rec, users, "d0_7", user_col="chosen_user_id")
-    got = mt.receiver_rates(got.join(first, "user_id", "left"), prefix="received_vote")
+    first = once.where("_first_received_d0_7 is not null").select("user_id", F.col("_first_received_d0_7").alias("first_date"))
+    base = sent.join(users.select("user_id", "signup_date"), "user_id").withColumn(
+        "first_offset", F.datediff("_first_received_d0_7", "signup_date")
+    )
+    got = mt.receiver_rates(base.drop("signup_date"), prefix="received_vote")
     got = got.withColumnsRenamed(
         {
             "first_offset": "first_received_vote_day",
-            "first_date": "first_received_vote_date",
+            "_first_received_d0_7": "first_received_vote_date",
             "first_day_filled": "first_received_vote_day_filled",
             "early_received_vote_score_d0_7": "early_received_score_d0_7",
         }
     )
-    asked = mt.edge_window_metrics(req, users, pick("d0_7", "d0_28"))
-    spent = mt.delta_metrics(pts, users, pick("d0_7", "d0_28"))
-
-    activity = mt.activity_days(*activity_sources(rec, req, pts, users).values())
-    active = mt.active_day_counts(activity, users, pick("d0_7", "d0_28", "d8_28"))
+    active = once.select("user_id", "active_days_d0_7")
     early = active.where("active_days_d0_7 > 0").select("user_id")
     peers = active_peers(
         flag_member(users, early, "user_id", "is_active_d0_7"),
@@ -127,7 +140,7 @@ def build_mart(frames: Mapping[str, DataFrame]) -> DataFrame:
         "user_id", "same_class_active_d0_7", "same_grade_active_d0_7",
         "same_class_active_ratio_d0_7", "same_grade_active_ratio_d0_7",
     )
-    parts = [retained, paid, sent, got, asked, spent, active, peers]
+    parts = [got, peers]
     if {"session_map", "session_events"} <= set(frames):
         ids = frames["session_map"].select("session_id", src.norm_id("user_id").alias("user_id"))
         log = src.session_log(frames["session_events"])
@@ -185,13 +198,21 @@ def activity_sources(rec: DataFrame, req: DataFrame, pts: DataFrame, users: Data
 
 def reactions(first: DataFrame, users: DataFrame, attendance: DataFrame, pts: DataFrame, pay: DataFrame) -> DataFrame:
     """Attendance days, point-use days and payments on or after the first receipt."""
-    out = mt.responses_after(
+    tagged = union_all(
+        *[
+            f.select("user_id", "day", F.lit(name).alias("_source"))
+            for name, f in (("attendance", attendance), ("use", pts.where("delta_point < 0")), ("payment", pay))
+        ]
+    )
+    out = after_anchor_parts(
+        tagged,
         first,
         users,
+        "d0_28",
         {
-            "attendance_days_after_received_vote": (attendance, "day", True),
-            "point_use_after_received_vote_count": (pts.where("delta_point < 0"), "day", True),
-            "payment_after_received_vote_count": (pay, "day", False),
+            "attendance_days_after_received_vote": ("_source = 'attendance'", True),
+            "point_use_after_received_vote_count": ("_source = 'use'", True),
+            "payment_after_received_vote_count": ("_source = 'payment'", False),
         },
     )
     return out.withColumnsRenamed(

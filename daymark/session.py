@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_all(**frames: DataFrame) -> dict[str, DataFrame]:
+    """`settle` for several independent frames, their jobs submitted side by side."""
+    if frames:
+        checkpoint_dir(next(iter(frames.values())).sparkSession)  # set once, before the threads ask for it
+    with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
+        return dict(zip(frames, pool.map(settle, frames.values())))
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Remove the tables that `settle` writes inside the block; write or collect the results before it ends."""
