@@ -27,8 +27,10 @@ from daymark.catalog.fixtures import (
 from daymark.functions import MetricSpec, digits
 from daymark.operators import ordering as od
 from daymark.operators import quality as ql
+from daymark.operators import sketches as sk
 from daymark.operators.tables import exclude_ids
-from daymark.session import settle
+from daymark.session import checkpoint_dir, settle
+from daymark.sources.stored import stored
 
 add = registry.add
 INF = float("inf")
@@ -446,6 +448,80 @@ def _(s, d):
     return out.withColumns({c: F.round(c, 6) for c in ("spearman_corr", "abs_corr")})
 
 
+@add(
+    "spearman_matrix",
+    MART_SQL
+    + ", r AS (SELECT "
+    + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in P_COLS)
+    + " FROM m) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS corr FROM r" for a in P_COLS for b in P_COLS),
+)
+def _(s, d):
+    return ql.spearman_matrix(settled_mart(s, d), P_COLS).withColumn("corr", F.round("corr", 6))
+
+
+@add(
+    "duplicate_audit_nested",
+    """
+    WITH f AS (SELECT user_id, event_type, props, CAST(ts AS DATE) AS day FROM events),
+    r AS (SELECT *, count(*) AS n FROM f GROUP BY ALL), k AS (SELECT user_id, sum(n) AS n, count(*) AS kinds FROM r GROUP BY 1)
+    SELECT 'events' AS table_name, 'user_id' AS dedup_key, sum(n) AS row_count, sum(n - kinds) AS full_row_duplicates,
+      sum(n - 1) AS key_duplicates, sum(kinds - 1) AS key_not_row_duplicates, count(*) FILTER (n > 1) AS duplicated_key_groups,
+      sum(n - kinds) * 100.0 / nullif(sum(n - 1), 0) AS full_share_pct FROM k
+    """,
+)
+def _(s, d):
+    # a map column cannot be grouped by: rows meet as digests
+    rows = table(s, d, "events").select(
+        "user_id", F.create_map(F.lit("type"), "event_type", F.lit("props"), "props").alias("cells"), F.to_date("ts").alias("day")
+    )
+    return ql.duplicate_audit(rows, ["user_id"], "events")
+
+
+S_COLS = ["l_quantity", "l_extendedprice"]
+
+
+@add(
+    "sketch_quantiles",
+    " UNION ALL ".join(
+        f"""SELECT l_returnflag, '{c}' AS "column", count({c}) AS n, CAST(avg({c}) AS DOUBLE) AS mean, CAST(min({c}) AS DOUBLE) AS min,
+        CAST(max({c}) AS DOUBLE) AS max, true AS within_bound FROM lineitem GROUP BY 1"""
+        for c in S_COLS
+    ),
+)
+def _(s, d):
+    """Sketches per ship day and flag, merged over the days; each quantile's rank is checked against the exact ranks."""
+    lines = table(s, d, "lineitem").select("l_returnflag", "l_shipdate", *[F.col(c).cast("double").alias(c) for c in S_COLS])
+    probs = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
+    found = sk.read_quantiles(sk.merge(sk.sketch(lines, S_COLS, ["l_returnflag", "l_shipdate"]), ["l_returnflag"]), probs)
+    long = lines.select("l_returnflag", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in S_COLS])))
+    ranks = long.join(found.select("l_returnflag", "column", *probs), ["l_returnflag", "column"]).groupBy("l_returnflag", "column").agg(
+        *[x for p in probs for x in (F.count_if(F.col("value") < F.col(p)).alias(f"lo_{p}"), F.count_if(F.col("value") <= F.col(p)).alias(f"hi_{p}"))]
+    )
+    slack = F.col("n") * sk.rank_error()
+    within = F.lit(True)
+    for p, q in probs.items():
+        within = within & (F.col(f"lo_{p}") - slack <= F.col("n") * q) & (F.col("n") * q <= F.col(f"hi_{p}") + slack)
+    return found.join(ranks, ["l_returnflag", "column"]).select("l_returnflag", "column", "n", "mean", "min", "max", within.alias("within_bound"))
+
+
+@add(
+    "stored_aggregate",
+    "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS event_count, CAST(sum(value) AS DOUBLE) AS value, true AS reused "
+    "FROM (SELECT event_type, ts, CAST(value AS DECIMAL(18,2)) AS value FROM events) GROUP BY 1, 2",
+)
+def _(s, d):
+    """Stored on the first call; the second finds the table by its key and reads no event."""
+    folder = f"{checkpoint_dir(s)}/daymark-stored/daily_events"
+
+    def daily():
+        return events(s, d).groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("event_count"), F.sum("value").alias("value"))
+
+    stored(daily(), folder)
+    again = stored(daily(), folder)
+    return again.frame.withColumn("reused", F.lit(again.reused))
+
+
 @add(
     "winsorize_clip",
     MART_SQL

@@ -130,14 +130,55 @@ def zero_rate(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def duplicate_audit(df: DataFrame, keys: Sequence[str], table: str = "table") -> DataFrame:
+def _canonical(c: Column, kind: T.DataType) -> Column:
+    """The value in a form in which equal values have equal JSON: maps as sorted entries, one zero, times in microseconds."""
+    if isinstance(kind, T.MapType):
+        entries = F.transform(
+            F.map_entries(c),
+            lambda e: F.struct(_canonical(e["key"], kind.keyType).alias("k"), _canonical(e["value"], kind.valueType).alias("v")),
+        )
+        # sorted by the text of the entry, as the entries may hold what Spark cannot order
+        return F.array_sort(F.transform(entries, lambda e: F.to_json(e, {"ignoreNullFields": "false"})))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda e: _canonical(e, kind.elementType))
+    if isinstance(kind, T.StructType):
+        cells = [_canonical(c[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]
+        return F.when(c.isNotNull(), F.struct(*cells)) if cells else c
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return c + F.lit(0.0).cast(kind)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    return c
+
+
+def row_text(df: DataFrame) -> Column:
+    """A text that is equal for equal rows and for no others; NULL, empty text and the text 'null' stay apart."""
+    cells = [_canonical(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
+    return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
+
+
+def duplicate_audit(
+    df: DataFrame, keys: Sequence[str], table: str = "table", digest: Callable[[Column], Column] = F.md5
+) -> DataFrame:
     """How many rows key-based dedup would drop, and how many of those are not copies of a whole row.
 
-    Rows are collapsed to distinct rows with a count, then to keys; every dropped whole-row copy is also a
-    key copy, so the difference of the two sums is the third figure.
+    Rows travel as a 128-bit digest of `row_text`, so columns of any type, maps included, and wide rows cost one short text
+    in the shuffle.  Only rows whose (key, digest) repeats are compared whole, so the figures are exact even where digests
+    collide.  Every dropped whole-row copy is also a key copy, so the difference of the two sums is the third figure.
     """
-    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    per_key = rows.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_kinds"))
+    keys = list(keys)
+    texts = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], row_text(df).alias("_text"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    digests = texts.select(*names, digest(F.col("_text")).alias("_digest"))
+    rows = digests.groupBy(*names, "_digest").agg(F.count(F.lit(1)).alias("_n"))
+    # the digests that repeat, and how many different rows each of them stands for
+    again = rows.where("_n > 1").select("_digest").distinct()
+    whole = texts.withColumn("_digest", digest(F.col("_text"))).join(again, "_digest", "left_semi")
+    kinds = whole.groupBy(*names, "_digest", "_text").count().groupBy(*names, "_digest").agg(F.count(F.lit(1)).alias("_kinds"))
+    both = rows.select(*names, "_n", F.lit(1).cast("long").alias("_kinds")).unionByName(
+        kinds.select(*names, F.lit(0).cast("long").alias("_n"), (F.col("_kinds") - 1).alias("_kinds"))
+    )
+    per_key = both.groupBy(*names).agg(F.sum("_n").alias("_n"), F.sum("_kinds").alias("_kinds"))
     out = per_key.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("_n") - F.col("_kinds")), F.lit(0)).alias("full_row_duplicates"),
@@ -382,33 +423,56 @@ def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], names: tuple[str, st
     return df.agg(F.array(*cells).alias("_rows")).select(F.inline("_rows"))
 
 
+def _matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(x, y, corr) for every pair of columns in one pass: each unordered pair is computed once and given both ways."""
+    half = _pairs(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]], ("x", "y"), "corr")
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct("x", "y"))).otherwise(
+        F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    )
+    return half.select(F.explode(sides).alias("_p"), "corr").select("_p.x", "_p.y", "corr")
+
+
 def pearson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Correlation of every pair of columns that vary, missing values as 0, in one pass."""
     used = [r["column"] for r in varying(df, cols).collect() if r["varies"]]
     used = [c for c in cols if c in used]
     clean = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in used])
-    return _pairs(clean, [(a, b) for a in used for b in used], ("x", "y"), "corr")
+    return _matrix(clean, used)
 
 
-def spearman(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """Rank correlation of each feature with each target and its absolute value.
+def rank_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Each row with its columns replaced by their average ranks; missing and infinite values count as 0.
 
-    Average ranks are computed per distinct value and joined back by value; columns with few different
-    values have a rank table small enough for Spark to broadcast at run time.
+    The cells are ranked while long, with one join on (column, value) and one grouping back to rows, so the number of
+    shuffles does not depend on the number of columns.  A value that most rows share is one row of the rank table, and
+    Spark splits the rows that meet it.
     """
-    cols = list(dict.fromkeys([*features, *targets]))
     kinds = dict(df.dtypes)
-    clean = settle(df.select(*[(num(c, dtype=kinds[c]) + F.lit(0.0)).alias(c) for c in cols]))  # read once per column below
-    table = settle(average_ranks(clean, cols))
-    ranked = clean
-    for c in cols:
-        own = table.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r_{c}"))
-        ranked = ranked.join(own, c)
-    ranks = ranked.select(*[F.col(f"_r_{c}").alias(c) for c in cols])
+    clean = df.select(*[(num(c, dtype=kinds[c]) + F.lit(0.0)).alias(c) for c in cols])
+    # numbered and written once: the numbers must not change between the two reads
+    clean = settle(clean.withColumn("_row", F.monotonically_increasing_id()))
+    place = {c: i for i, c in enumerate(cols)}
+    index = F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(i))])
+    table = average_ranks(clean, cols).select(F.element_at(index, F.col("column")).alias("_c"), F.col("value").alias("_v"), "rank")
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).alias("_v")) for c, i in place.items()])
+    ranked = clean.select("_row", F.inline(cells)).join(table, ["_c", "_v"])
+    return ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_c") == i, F.col("rank"))).alias(c) for c, i in place.items()]).drop("_row")
+
+
+def spearman(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """Rank correlation of each feature with each target and its absolute value."""
+    ranks = rank_columns(df, list(dict.fromkeys([*features, *targets])))
     out = _pairs(ranks, [(t, f) for t in targets for f in features], ("target", "feature"), "spearman_corr")
     return out.withColumn("abs_corr", F.abs("spearman_corr"))
 
 
+def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rank correlation of every pair of columns that vary, (x, y, corr), from one rank pass."""
+    used = {r["column"] for r in varying(df, cols).collect() if r["varies"]}
+    used = [c for c in cols if c in used]
+    return _matrix(rank_columns(df, used), used)
+
+
 def winsorize(df: DataFrame, cols: Sequence[str], q: float = 0.99, on_zero_cap: str = "clip") -> DataFrame:
     """Cap columns at a quantile, missing values as 0.
 
