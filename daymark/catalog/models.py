@@ -60,6 +60,23 @@ def _(s, d):
     return out.select("user_id", *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in Z])
 
 
+@add(
+    "cluster_features_skip",
+    FEATURES_SQL
+    + """, caps AS (SELECT quantile_cont(rare, 0.99) AS r, quantile_cont(order_count, 0.99) AS o FROM f),
+    x AS (SELECT user_id, ln(1 + CASE WHEN r <= 0 THEN rare ELSE least(rare, r) END) AS rare,
+      ln(1 + CASE WHEN o <= 0 THEN order_count ELSE least(order_count, o) END) AS n FROM f, caps)
+    SELECT user_id, round((rare - avg(rare) OVER ()) / stddev_pop(rare) OVER (), 6) AS z_rare,
+      round((n - avg(n) OVER ()) / stddev_pop(n) OVER (), 6) AS z_order_count FROM x
+    """,
+)
+def _(s, d):
+    # a cap of 0 would empty a rare feature: 'skip' leaves it uncapped and keeps it
+    spec = cl.FeatureSpec(counts=["order_count", "rare"], on_zero_cap="skip")
+    out, _table, kept = cl.cluster_features(_raw_features(s, d), spec, vector=None)
+    return out.select("user_id", *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in ("rare", "order_count")])
+
+
 @add(
     "cluster_feature_table",
     FEATURES_SQL
