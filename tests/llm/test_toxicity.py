@@ -1,7 +1,9 @@
+import math
 import random
-import re
 import zlib
 
+import numpy as np
+
 from daymark.llm import toxicity
 
 INSULTS, GROUPS = ["vilk", "dreg", "snub"], ["norfen", "suthen", "westen"]
@@ -41,6 +43,47 @@ def test_pairs_of_terms_are_learned(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def pair_only(n, seed=4):
+    """Label 1 where both markers or neither stand in a text: neither tells anything alone."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeilmnorst") for _ in range(5)) for _ in range(300)]
+    rows = []
+    for i in range(n):
+        text, a, b = [rng.choice(words) for _ in range(30)], rng.randrange(2), rng.randrange(2)
+        rows.append((i, " ".join(text + ["vilk"] * a + ["norfen"] * b), int(a == b)))
+    return rows
+
+
+def test_a_label_made_only_of_a_pair_is_learned(spark):
+    rows = pair_only(2400)
+    truth = {i: y for i, _, y in rows}
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    held = toxicity.toxicity(docs, labels).where("held_out").collect()
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) > 0.97 * len(held)
+
+
+def test_no_pairs_from_chance():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 300, 30)) for _ in range(2000)]
+    machine = toxicity.Machine(rows, rng.integers(0, 2, 2000)).fit()
+    assert not machine.vectors.any() and (machine.weights != 0).sum() <= 6
+
+
+def test_score_is_the_machine_of_the_model_table(spark):
+    rows = made(1200)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(9000, None), (9001, "")], "doc_id long, text string")
+    model = toxicity.ToxicityModel().fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    table = {r["feature"]: (r["weight"], r["vector"]) for r in model.model.collect()}
+    assert any(any(v) for _, v in table.values())
+    found = {r[0]: r[1] for r in docs.select("doc_id", toxicity.features(docs["text"])).collect()}
+    for r in model.score(docs).collect():
+        known = [table[f] for f in found[r["doc_id"]] if f in table]
+        value = table[-1][0] + sum(w for w, _ in known)
+        value += sum(sum(x * y for x, y in zip(a, b, strict=True)) for k, (_, a) in enumerate(known) for _, b in known[:k])
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30, min(30, value))))) < 1e-9
+
+
 def test_held_out_labels_do_not_matter(spark):
     rows = made(800)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -78,4 +121,4 @@ def test_odd_rows_and_nothing_to_learn(spark, odd_docs, no_docs):
     scored = model.score(odd_docs).collect()
     assert len(scored) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in scored)
     assert not any(r["held_out"] for r in scored if r["doc_id"] is None)
-    assert re.match("FM", type(model.model).__name__)
+    assert model.model.where("feature = -1").count() == 1
