@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from daymark.catalog import registry
@@ -30,6 +32,8 @@ from daymark.operators import quality as ql
 from daymark.operators import sketches as sk
 from daymark.operators.tables import exclude_ids
 from daymark.session import checkpoint_dir, settle
+from daymark.sources.partials import refresh
+from daymark.sources.rescue import read_rescued
 from daymark.sources.stored import stored
 
 add = registry.add
@@ -522,6 +526,88 @@ def _(s, d):
     return again.frame.withColumn("reused", F.lit(again.reused))
 
 
+@add(
+    "daily_partials",
+    ctes(EV, US, EO)
+    + """
+    , n AS (SELECT count(DISTINCT day) AS n_days FROM ev)
+    SELECT us.user_id, count(*) FILTER (off BETWEEN 0 AND 7) AS events_d0_7, count(*) FILTER (off BETWEEN 8 AND 28) AS events_d8_28,
+      CAST(coalesce(sum(value) FILTER (off BETWEEN 0 AND 7), 0) AS DOUBLE) AS value_d0_7,
+      CAST(coalesce(sum(value) FILTER (off BETWEEN 8 AND 28), 0) AS DOUBLE) AS value_d8_28,
+      any_value(n_days) - 1 AS days_first, 2::BIGINT AS days_second, 0::BIGINT AS days_third
+    FROM us JOIN eo USING (user_id) CROSS JOIN n GROUP BY us.user_id
+    """,
+)
+def _(s, d):
+    """Events arrive by day: all days but the last, then the last day and late errors of the first; the second refresh
+    reads these two days only, the third none."""
+    home = f"{checkpoint_dir(s)}/daymark-partials/{uuid.uuid4().hex}"
+    facts = events(s, d).select("user_id", "event_type", "value", "day")
+    first, last = facts.agg(F.min("day"), F.max("day")).first()
+    late = ((F.col("day") == first) & (F.col("event_type") == "error")) | (F.col("day") == last)
+
+    def arrive(rows):
+        rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{home}/facts")
+
+    def per_day(rows):
+        return rows.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
+
+    read = []
+    for part in (~F.coalesce(late, F.lit(False)), late, None):
+        if part is not None:
+            arrive(facts.where(part))
+        done = refresh(s, f"{home}/facts", f"{home}/store", per_day)
+        read.append(len(done.days))
+    base = done.frame.groupBy("user_id").agg(F.min("day").alias("signup_date"))
+    off = F.date_diff("day", "signup_date")
+    windows = {"d0_7": off.between(0, 7), "d8_28": off.between(8, 28)}
+    sums = [
+        F.coalesce(F.sum(F.when(w, F.col(c))), F.lit(0)).alias(f"{c}_{name}") for c in ("events", "value") for name, w in windows.items()
+    ]
+    counted = done.frame.join(base, "user_id").groupBy("user_id").agg(*sums)
+    return counted.select("*", *[F.lit(n).cast("long").alias(f"days_{k}") for k, n in zip(("first", "second", "third"), read, strict=True)])
+
+
+def _csv_files(s, d):
+    """Customers as CSV: files with a byte order mark, an extra column and another order; files without a segment, with
+    unreadable balances and short lines."""
+    home = f"{checkpoint_dir(s)}/daymark-csv/{uuid.uuid4().hex}"
+    c = table(s, d, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("c_acctbal"), "c_mktsegment", "c_nationkey", "c_name")
+    own = c.where("c_nationkey < 12")
+    own.select(F.col("c_acctbal").alias("\ufeffc_acctbal"), F.col("c_name").alias("note"), "c_custkey", "c_mktsegment").write.csv(
+        f"{home}/a", header=True, escape='"'
+    )
+    line = F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_custkey").cast("string")).otherwise(
+        F.concat_ws(",", "c_custkey", F.when(F.col("c_acctbal") < 0, F.lit("unknown")).otherwise(F.col("c_acctbal").cast("string")))
+    )
+    c.where("c_nationkey >= 12").select(line.alias("c_custkey,c_acctbal")).write.csv(f"{home}/b", header=True, sep="\t")
+    return read_rescued(s, [f"{home}/a", f"{home}/b"], "c_custkey long, c_mktsegment string, c_acctbal decimal(18,2)")
+
+
+@add(
+    "csv_rescue",
+    """
+    SELECT c_custkey, CASE WHEN c_nationkey < 12 THEN c_mktsegment END AS c_mktsegment, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS c_acctbal
+    FROM customer WHERE c_nationkey < 12 OR (c_mktsegment <> 'BUILDING' AND c_acctbal >= 0)
+    """,
+)
+def _(s, d):
+    return _csv_files(s, d).rows
+
+
+@add(
+    "csv_rejected",
+    """
+    SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN CAST(c_custkey AS VARCHAR) ELSE c_custkey || ',unknown' END AS line,
+      CASE WHEN c_mktsegment = 'BUILDING' THEN '1 fields, 2 in the header' ELSE 'c_acctbal is no decimal(18,2)' END AS reason, 'c_mktsegment' AS missing
+    FROM customer WHERE c_nationkey >= 12 AND (c_mktsegment = 'BUILDING' OR c_acctbal < 0)
+    """,
+)
+def _(s, d):
+    found = _csv_files(s, d)
+    return found.rejected.join(found.headers, "file").select("line", "reason", F.array_join("missing", ", ").alias("missing"))
+
+
 @add(
     "winsorize_clip",
     MART_SQL
