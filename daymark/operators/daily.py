@@ -31,17 +31,21 @@ def daily_by_group(df: DataFrame, groups: DataFrame, day_col: str, group_col: st
 def user_payments(
     df: DataFrame, user_col: str = "user_id", at_col: str = "created_at", product_col: str = "product_id"
 ) -> DataFrame:
-    """Payments, different moments, days and products per user."""
-    return (
-        df.where(F.col(user_col).isNotNull())
-        .groupBy(user_col)
-        .agg(
-            F.count(F.lit(1)).alias("payment_rows"),
-            F.count_distinct(at_col).alias("payment_distinct_at"),
-            F.count_distinct(F.to_date(at_col)).alias("payment_active_days"),
-            F.count_distinct(product_col).alias("payment_product_count"),
-        )
+    """Payments, different moments, days and products per user.
+
+    Rows collapse to moments, then days, then users, and beside that to products, so no distinct set is expanded.
+    """
+    paid = df.where(F.col(user_col).isNotNull())
+    moments = paid.groupBy(user_col, at_col).agg(F.count(F.lit(1)).alias("_n"))
+    days = moments.groupBy(user_col, F.to_date(at_col).alias("_day")).agg(F.sum("_n").alias("_n"), F.count(at_col).alias("_at"))
+    per_user = days.groupBy(user_col).agg(
+        F.sum("_n").alias("payment_rows"),
+        F.sum("_at").alias("payment_distinct_at"),
+        F.count("_day").alias("payment_active_days"),
     )
+    products = paid.groupBy(user_col, product_col).agg(F.lit(1).alias("_one"))
+    bought = products.groupBy(user_col).agg(F.count(product_col).alias("payment_product_count"))
+    return per_user.join(bought, user_col)
 
 
 def product_repeat(

@@ -101,15 +101,26 @@ def edge_summary(
     receiver_col: str = "receive_user_id",
     accepted: str | Column = "accepted",
 ) -> DataFrame:
-    """Whole-graph counts as (metric, value): rows, senders, receivers, distinct pairs, accepted rows."""
+    """Whole-graph counts as (metric, value): rows, senders, receivers, distinct pairs, accepted rows.
+
+    Pairs collapse to one row per sender and, from the same pairs, one per receiver, so no distinct set is expanded and only
+    sums reach the last task.
+    """
     pairs = edges.groupBy(sender_col, receiver_col).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(col_of(accepted)).alias("_ok")
     )
-    one = pairs.agg(
+    per_sender = pairs.groupBy(sender_col).agg(
+        F.sum("_n").alias("_n"),
+        F.sum("_ok").alias("_ok"),
+        F.count_if(F.col(sender_col).isNotNull() & F.col(receiver_col).isNotNull()).alias("_pairs"),
+    )
+    sent = per_sender.agg(
         F.sum("_n").alias("rows"),
-        F.count_distinct(sender_col).alias("senders"),
-        F.count_distinct(receiver_col).alias("receivers"),
-        F.count_if(F.col(sender_col).isNotNull() & F.col(receiver_col).isNotNull()).alias("pairs"),
+        F.count(sender_col).alias("senders"),
+        F.coalesce(F.sum("_pairs"), F.lit(0)).alias("pairs"),
         F.sum("_ok").alias("accepted"),
     )
-    return one.unpivot([], ["rows", "senders", "receivers", "pairs", "accepted"], "metric", "value")
+    received = pairs.groupBy(receiver_col).agg(F.lit(1).alias("_one")).agg(F.count(receiver_col).alias("receivers"))
+    return sent.unpivot([], ["rows", "senders", "pairs", "accepted"], "metric", "value").unionByName(
+        received.unpivot([], ["receivers"], "metric", "value")
+    )
