@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daymark.operators import predict as pr
+from daymark.session import fit_parts
 from daymark.plans import d3_models
 
 
@@ -148,3 +149,21 @@ def test_check_list_covers_what_is_present():
     assert len(full) == 60  # with the repeated-key check and the leakage refusal: the 62 published ones
     assert len({c["check"] for c in full}) == len(full)
     assert d3_models.checks(["friends_d3"]) == [{"check": "friends_d3: negative", "severity": "error", "condition": "cast(`friends_d3` as double) < 0"}]
+
+
+def test_few_rows_are_fitted_in_few_partitions(spark, monkeypatch):
+    """Every round of boosting is several jobs: a small table must not be spread over all shuffle partitions."""
+    seen = []
+    monkeypatch.setattr(pr, "_run", lambda models, train, test, *rest: seen.append(train.rdd.getNumPartitions()) or pr.ModelResult.empty())
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        pr.fit_binary(learnable(spark), "y", ["a", "b"], rounds=1)
+        pr.fit_count(learnable(spark), "y", ["a", "b"], rounds=1)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert seen == [1, 1]
+    cores = spark.sparkContext.defaultParallelism
+    assert [fit_parts(spark, n) for n in (0, 50_000, 50_001, 10**6 * cores, 10**6 * cores + 1)] == [1, 1, 2, cores, cores + 1]
