@@ -112,21 +112,23 @@ def distinct_in_windows(
         F.col(date_col).alias("day"),
         *[(F.col(c) if same else F.col(c).cast("string")).alias(name) for name, c in items.items()],
     ).where("user_id is not null and day is not null")
-    placed = keyed.join(users.select("user_id", "signup_date"), "user_id").withColumn(
+    # hashing the signup days of a partition is little beside sorting its rows, and the split of a hot user's rows stays
+    placed = keyed.join(users.select("user_id", "signup_date").hint("shuffle_hash"), "user_id").withColumn(
         "day_offset", F.datediff("day", "signup_date")
     )
     mask = F.expr(" | ".join(f"if(day_offset between {a} and {b}, {1 << i}L, 0L)" for i, (a, b) in enumerate(W.values())))
     inside = placed.where(_span("day_offset", W)).select("user_id", mask.alias("_mask"), *items)
+    # the columns are numbered, so that a row of the grouping is as narrow as its item
     if len(items) > 1:
-        pairs = [F.struct(F.lit(n).alias("name"), F.col(n).alias("item")) for n in items]
+        pairs = [F.struct(F.lit(i).alias("name"), F.col(n).alias("item")) for i, n in enumerate(items)]
         long = inside.select("user_id", "_mask", F.inline(F.array(*pairs)))
     else:
-        long = inside.select("user_id", "_mask", *[c for n in items for c in (F.lit(n).alias("name"), F.col(n).alias("item"))])
+        long = inside.select("user_id", "_mask", *[c for n in items for c in (F.lit(0).alias("name"), F.col(n).alias("item"))])
     seen = long.where("item is not null").groupBy("user_id", "name", "item").agg(F.bit_or("_mask").alias("_mask"))
     return seen.groupBy("user_id").agg(
         *[
-            F.expr(f"count_if(name = '{name}' and (_mask & {1 << i}L) != 0)").alias(f"{name}_{w}")
-            for name in items
+            F.expr(f"count_if(name = {n} and (_mask & {1 << i}L) != 0)").alias(f"{name}_{w}")
+            for n, name in enumerate(items)
             for i, w in enumerate(W)
         ]
     )

@@ -18,6 +18,7 @@ from daymark.operators.windows import (
     after_anchor,
     assemble,
     compare,
+    distinct_in_windows,
     first_in_window,
     lookup_or_self,
     outer_merge,
@@ -216,3 +217,14 @@ def test_amount_source(spark, rows):
     priced = pay.selectExpr("user_id", "day", "productId", "'1,200' as Price")
     assert payment_amount(priced)[1] == "Price"
     assert payment_metrics(priced, users(spark, "a"), pick("d0_28")).first()["payment_amount_d0_28"] == 2400.0
+
+
+def test_distinct_counts_keep_narrow_rows(spark):
+    """The grouping of (user, column, item) holds numbers only, and the rows that meet the signup day are not sorted."""
+    users = spark.sql("select 1L as user_id, date'2024-01-01' as signup_date")
+    facts = spark.sql("select 1L as user_id, date'2024-01-02' as day, 5L as a, 6L as b")
+    out = distinct_in_windows(facts, users, {"a": "a", "b": "b"}, {"d0_7": (0, 7)}, "user_id", "day")
+    assert out.collect()[0].asDict() == {"user_id": 1, "a_d0_7": 1, "b_d0_7": 1}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "leftHint=(strategy" in plan or "rightHint=(strategy" in plan
+    assert "name = a" not in plan
