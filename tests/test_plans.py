@@ -1,6 +1,7 @@
 """The runs on small source files with the expected headers."""
 
 import csv
+import re
 from datetime import date, timedelta
 
 import numpy as np
@@ -94,6 +95,24 @@ def test_population(frames, rows):
     assert funnel["all_users"] == N and 0 < funnel["home_entry_population"] < N
 
 
+def broadcast_keys(df):
+    """First keys of the joins that send one side whole to every task."""
+    return set(re.findall(r"BroadcastHashJoin \[(?:cast\()?(\w+)#", df._jdf.queryExecution().sparkPlan().toString()))
+
+
+def test_no_frame_with_a_row_per_user_is_broadcast(spark, frames, sf_dir):
+    from daymark.catalog.runs import source_frames
+
+    many = {"user_id", "session_id", "question_piece_id", "c_custkey", "o_custkey", "l_orderkey"}
+    for df in (
+        src.users_population(frames["users"], frames["groups"], frames["user_properties"]),
+        three_axis.build_mart(frames),
+        source_frames(spark, sf_dir)["users"],
+    ):
+        assert "Join" in df._jdf.queryExecution().sparkPlan().toString()
+        assert not broadcast_keys(df) & many
+
+
 def test_contract_names_what_is_missing(spark, frames):
     from daymark.sources import check_sources
 
