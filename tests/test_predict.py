@@ -167,3 +167,18 @@ def test_few_rows_are_fitted_in_few_partitions(spark, monkeypatch):
     assert seen == [1, 1]
     cores = spark.sparkContext.defaultParallelism
     assert [fit_parts(spark, n) for n in (0, 50_000, 50_001, 10**6 * cores, 10**6 * cores + 1)] == [1, 1, 2, cores, cores + 1]
+
+
+def test_registered_grid_keeps_every_round(spark, monkeypatch):
+    import inspect
+
+    from daymark.catalog import load, models
+
+    asked = {}
+    monkeypatch.setattr(models, "_grid_mart", lambda s, d: None)
+    monkeypatch.setattr(models, "_grid_report", lambda result, s: s.range(1))
+    monkeypatch.setattr(models.d3_models, "basic_grid", lambda mart, **options: asked.update(options))
+    load().queries["model_grid"](spark, "")
+    for fit in (pr.fit_binary, pr.fit_count):
+        rounds = inspect.signature(fit).parameters["rounds"].default
+        assert rounds == 250 and asked.get("rounds", rounds) == rounds
